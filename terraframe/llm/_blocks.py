@@ -104,13 +104,30 @@ def words_of(buf: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Block:
     """Documents of one row of BLOCK_SCHEMA. ``buf`` has the texts as UTF-8, each followed by one line feed."""
 
-    def __init__(self, block_id: int, ids: bytes, lens: bytes, data: bytes, raw_len: int):
-        self.block_id = block_id
-        self.ids = np.frombuffer(ids, dtype=np.int64)
-        self.lens = np.frombuffer(lens, dtype=np.int64)
-        self.raw = bytes(pa.decompress(data, decompressed_size=raw_len, codec="zstd")) if raw_len else b""
-        self.buf = np.frombuffer(self.raw, dtype=np.uint8)
-        self.off = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.lens + 1)])
+    def __init__(self, block_id: int, ids: np.ndarray, lens: np.ndarray, raw: bytes):
+        self.block_id, self.ids, self.lens, self.raw = block_id, ids, lens, raw
+        self.buf = np.frombuffer(raw, dtype=np.uint8)
+        self.off = np.concatenate([np.zeros(1, np.int64), np.cumsum(lens + 1)])
+
+    @classmethod
+    def of(cls, ids: list[int | None] | np.ndarray, texts: list[bytes | None], block_id: int = 0) -> Block:
+        texts = [t or b"" for t in texts]
+        if not isinstance(ids, np.ndarray):
+            ids = np.array([NULL_ID if i is None else i for i in ids], dtype=np.int64)
+        return cls(block_id, ids, np.array([len(t) for t in texts], dtype=np.int64), b"".join([t + b"\n" for t in texts]))
+
+    @classmethod
+    def load(cls, r: dict) -> Block:
+        raw = pa.decompress(r["data"], r["raw_len"], "zstd", asbytes=True) if r["raw_len"] else b""
+        return cls(r["block_id"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["lens"], np.int64), raw)
+
+    def row(self) -> tuple:
+        """As BLOCK_SCHEMA has it."""
+        data = pa.compress(self.raw, codec="zstd", asbytes=True) if self.raw else b""
+        return self.block_id, len(self.ids), len(self.raw), self.ids.tobytes(), self.lens.tobytes(), data
+
+    def text(self, i: int) -> bytes:
+        return self.raw[self.off[i] : self.off[i] + self.lens[i]]
 
     def words(self, outside: np.ndarray = SPACE, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends, hashes and document indexes of all words."""
@@ -145,13 +162,28 @@ def rows_of(table: pa.Table) -> Iterator[dict]:
 
 def blocks_in(table) -> Iterator[Block]:
     for r in rows_of(table):
-        yield Block(r["block_id"], r["ids"], r["lens"], r["data"], r["raw_len"])
+        yield Block.load(r)
 
 
 def batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
 
+def local_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
+    """Blocks, numbered from 0, of batches whose first two columns are an id and a text as binary."""
+    seq, ids, texts, size = 0, [], [], 0
+    for b in batches:
+        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            ids.append(i)
+            texts.append(t or b"")
+            size += len(texts[-1]) + 1
+            if size >= block_bytes:
+                yield Block.of(ids, texts, seq)
+                seq, ids, texts, size = seq + 1, [], [], 0
+    if ids:
+        yield Block.of(ids, texts, seq)
+
+
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents as checkpointed blocks, partitioned by block_id. A null text is an empty one. A document that is
     longer than a block makes up a block of its own."""
@@ -160,29 +192,26 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block_id", pa.int64()), ("n_docs", pa.int32()), ("raw_len", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("data", pa.binary())])
-        base, seq, ids, texts, size = TaskContext.get().partitionId() << 32, 0, [], [], 0
-
-        def flush():
-            nonlocal seq, ids, texts, size
-            raw = b"".join(t + b"\n" for t in texts)
-            row = (base + seq, len(ids), len(raw), np.array(ids, np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
-            seq, ids, texts, size = seq + 1, [], [], 0
-            return batch(schema, [row])
-
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(NULL_ID if i is None else i)
-                texts.append(t or b"")
-                size += len(texts[-1])
-                if size >= block_bytes:
-                    yield flush()
-        if ids:
-            yield flush()
+        for block in local_blocks(batches, block_bytes):
+            block.block_id += TaskContext.get().partitionId() << 32
+            yield batch(schema, [block.row()])
 
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(pack, BLOCK_SCHEMA)
     return packed.repartition(partitions(spark), "block_id").checkpoint()
 
 
+def partitioned_checkpoint(df: DataFrame) -> DataFrame:
+    """df checkpointed, known to be partitioned as it is: an adaptive plan would forget that, and each later cogroup would
+    shuffle the rows again."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        conf.set(name, before)
+
+
 def raw_bytes(blocks: DataFrame) -> int:
     return blocks.agg(F.coalesce(F.sum("raw_len"), F.lit(0))).first()[0]
 
@@ -209,17 +238,19 @@ class Buckets:
 
 
 def narrow(a: np.ndarray) -> bytes:
-    """Whole numbers from 0 as a byte of width and that many bytes each."""
-    a = np.ascontiguousarray(a, dtype="<u8")
+    """Whole numbers as the least of them, a width, and that many bytes for what each is above it."""
+    a = a.astype("<u8", copy=False)
+    least = a.min() if len(a) else U64(0)
+    a = np.ascontiguousarray(a - least)
     width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-    return bytes([width]) + a.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return least.tobytes() + bytes([width]) + a.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def widen(b: bytes, n: int) -> np.ndarray:
     out = np.zeros((n, 8), dtype=np.uint8)
-    width = b[0]
-    out[:, :width] = np.frombuffer(b, np.uint8, n * width, 1).reshape(n, width)
-    return out.reshape(-1).view("<u8").astype(U64, copy=False)
+    width = b[8]
+    out[:, :width] = np.frombuffer(b, np.uint8, n * width, 9).reshape(n, width)
+    return out.reshape(-1).view("<u8").astype(U64, copy=False) + np.frombuffer(b, "<u8", 1)[0]
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
