@@ -2,7 +2,19 @@
 
 from __future__ import annotations
 
-from terraframe.llm import substring_dedup
+from terraframe.llm import decontaminate, jaccard_join, line_dedup, substring_dedup, suffix_dedup
 
-QUERIES = {"op6_substring_dedup": substring_dedup.op6_substring_dedup}
-ORACLE_SQL = {"op6_substring_dedup": substring_dedup.SQL}
+QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op8_suffix_array_dedup": suffix_dedup.op8_suffix_array_dedup,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+}
+ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.SQL,
+    "op5_line_dedup": line_dedup.SQL,
+    "op6_substring_dedup": substring_dedup.SQL,
+    "op8_suffix_array_dedup": suffix_dedup.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
+}
