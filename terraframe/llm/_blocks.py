@@ -197,7 +197,7 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield batch(schema, [block.row()])
 
     packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(pack, BLOCK_SCHEMA)
-    return packed.repartition(partitions(spark), "block_id").checkpoint()
+    return partitioned_checkpoint(packed.repartition(partitions(spark), "block_id"))
 
 
 def partitioned_checkpoint(df: DataFrame) -> DataFrame:
