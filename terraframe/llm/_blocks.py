@@ -23,7 +23,7 @@ U64 = np.uint64
 #: Id that stands for a null one inside blocks; it sorts after all others.
 NULL_ID = np.iinfo(np.int64).max
 BLOCK_BYTES = 1 << 20
-BLOCK_SCHEMA = "block_id long, n_docs int, raw_len long, ids binary, lens binary, data binary"
+BLOCK_SCHEMA = "block_id long, n_docs int, raw_len long, ids binary, lens binary, data binary, rest binary"
 KEY_SCHEMA = "bucket long, block_id long, blob binary"
 ANSWER_SCHEMA = "block_id long, blob binary"
 _MULT = 0x9E3779B97F4A7C15
@@ -102,10 +102,11 @@ def words_of(buf: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Block:
-    """Documents of one row of BLOCK_SCHEMA. ``buf`` has the texts as UTF-8, each followed by one line feed."""
+    """Documents of one row of BLOCK_SCHEMA. ``buf`` has the texts as UTF-8, each followed by one line feed; ``rest`` has
+    the columns that are carried along."""
 
-    def __init__(self, block_id: int, ids: np.ndarray, lens: np.ndarray, raw: bytes):
-        self.block_id, self.ids, self.lens, self.raw = block_id, ids, lens, raw
+    def __init__(self, block_id: int, ids: np.ndarray, lens: np.ndarray, raw: bytes, rest: pa.Table | None = None):
+        self.block_id, self.ids, self.lens, self.raw, self.rest = block_id, ids, lens, raw, rest
         self.buf = np.frombuffer(raw, dtype=np.uint8)
         self.off = np.concatenate([np.zeros(1, np.int64), np.cumsum(lens + 1)])
 
@@ -119,12 +120,27 @@ class Block:
     @classmethod
     def load(cls, r: dict) -> Block:
         raw = pa.decompress(r["data"], r["raw_len"], "zstd", asbytes=True) if r["raw_len"] else b""
-        return cls(r["block_id"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["lens"], np.int64), raw)
+        rest = pa.ipc.open_stream(r["rest"]).read_all() if r["rest"] else None
+        return cls(r["block_id"], np.frombuffer(r["ids"], np.int64), np.frombuffer(r["lens"], np.int64), raw, rest)
 
     def row(self) -> tuple:
         """As BLOCK_SCHEMA has it."""
         data = pa.compress(self.raw, codec="zstd", asbytes=True) if self.raw else b""
-        return self.block_id, len(self.ids), len(self.raw), self.ids.tobytes(), self.lens.tobytes(), data
+        rest = b""
+        if self.rest is not None:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, self.rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(self.rest)
+            rest = sink.getvalue().to_pybytes()
+        return self.block_id, len(self.ids), len(self.raw), self.ids.tobytes(), self.lens.tobytes(), data, rest
+
+    def carried(self, rows: np.ndarray | None = None, text_col: str | None = None, texts: list[bytes] | None = None) -> pa.Table:
+        """The carried columns of some rows, or all; with texts, the column text_col has these instead."""
+        out = self.rest if rows is None else self.rest.take(pa.array(rows))
+        if texts is not None:
+            at = out.schema.get_field_index(text_col)
+            out = out.set_column(at, out.schema.field(at), pa.array(texts, pa.binary()).cast(pa.string()))
+        return out
 
     def text(self, i: int) -> bytes:
         return self.raw[self.off[i] : self.off[i] + self.lens[i]]
@@ -170,33 +186,47 @@ def batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def local_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Blocks, numbered from 0, of batches whose first two columns are an id and a text as binary."""
-    seq, ids, texts, size = 0, [], [], 0
+    """Blocks, numbered from 0, of batches whose first two columns are an id and a text as binary. The fields of a third
+    are carried along."""
+    seq, ids, texts, rest, size = 0, [], [], [], 0
+
+    def block():
+        out = Block.of(ids, texts, seq)
+        out.rest = pa.Table.from_batches(rest).combine_chunks() if rest else None
+        return out
+
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        first = 0
+        more = pa.RecordBatch.from_struct_array(b.column(2)) if b.num_columns > 2 else None
+        for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist()), 1):
             ids.append(i)
             texts.append(t or b"")
             size += len(texts[-1]) + 1
+            if size >= block_bytes or k == b.num_rows:
+                if more is not None:
+                    rest.append(more.slice(first, k - first))
+                first = k
             if size >= block_bytes:
-                yield Block.of(ids, texts, seq)
-                seq, ids, texts, size = seq + 1, [], [], 0
+                yield block()
+                seq, ids, texts, rest, size = seq + 1, [], [], [], 0
     if ids:
-        yield Block.of(ids, texts, seq)
+        yield block()
 
 
-def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents as checkpointed blocks, partitioned by block_id. A null text is an empty one. A document that is
-    longer than a block makes up a block of its own."""
+    longer than a block makes up a block of its own. With carry, all columns of docs but the text travel along."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block_id", pa.int64()), ("n_docs", pa.int32()), ("raw_len", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("data", pa.binary())])
+        schema = pa.schema([("block_id", pa.int64()), ("n_docs", pa.int32()), ("raw_len", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("data", pa.binary()), ("rest", pa.binary())])
         for block in local_blocks(batches, block_bytes):
             block.block_id += TaskContext.get().partitionId() << 32
             yield batch(schema, [block.row()])
 
-    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(pack, BLOCK_SCHEMA)
+    carried = [F.col(c) if c != text_col else F.lit(None).cast("string").alias(c) for c in docs.columns] if carry else []
+    packed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"), *([F.struct(*carried).alias("rest")] if carry else [])).mapInArrow(pack, BLOCK_SCHEMA)
     return partitioned_checkpoint(packed.repartition(partitions(spark), "block_id"))
 
 
@@ -300,7 +330,7 @@ def map_blocks(blocks: DataFrame, f: Callable[[Block], Iterator[pa.RecordBatch]]
     return blocks.mapInArrow(run, schema)
 
 
-def answer_blocks(blocks: DataFrame, answers: DataFrame, f: Callable[[Block, list[bytes]], pa.Table], schema: str) -> DataFrame:
+def answer_blocks(blocks: DataFrame, answers: DataFrame, f: Callable[[Block, list[bytes]], pa.Table], schema) -> DataFrame:
     """f of each block and of the answers that it got, if any."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:

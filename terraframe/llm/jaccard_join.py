@@ -247,8 +247,29 @@ def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach, for each row of docs."""
+    _, nodes = _clusters(docs, size, percent, id_col, text_col, False)
+    null = lambda c: F.when(F.col(c) != B.NULL_ID, F.col(c))
+    return nodes.select(null("doc_id").alias("doc_id"), "n_shingles", null("c").alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component: the one with the smallest id (rows of that id with other texts stay)."""
+    docs = docs.withColumn("__text_is_null", F.col(text_col).isNull())
+    blocks, nodes = _clusters(docs, size, percent, id_col, text_col, True)
+    stay = nodes.where("doc_id = c").groupBy("doc_id", "n_shingles", "d1", "d2").agg(F.min(F.struct("block_id", "row")).alias("r")).select("r.block_id", "r.row")
+
+    def pick(block, answers):
+        rows = np.sort(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(a[1:], np.int32) for a in answers)]))
+        null = block.rest.column("__text_is_null").to_pylist()
+        return block.carried(rows, text_col, [None if null[i] else block.text(i) for i in rows.tolist()]).drop_columns(["__text_is_null"])
+
+    return B.answer_blocks(blocks, _row_answers(stay), pick, docs.drop("__text_is_null").schema)
+
+
+def _clusters(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, carry: bool) -> tuple[DataFrame, DataFrame]:
+    """The blocks of docs, and NODE_SCHEMA with c, the component's smallest id."""
     spark = docs.sparkSession
-    blocks = B.text_blocks(docs, id_col, text_col)
+    blocks = B.text_blocks(docs, id_col, text_col, carry)
     n_tokens = B.raw_bytes(blocks) // 5
     frequent, exact = B.Buckets(spark, n_tokens, False), B.Buckets(spark, n_tokens // 5, True)
 
@@ -280,9 +301,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
         labels = components(verify(blocks, pairs, size, percent), labels)
         if all_pairs:
             break
-    out = nodes.join(labels, "doc_id")
-    null = lambda c: F.when(F.col(c) != B.NULL_ID, F.col(c))
-    return out.select(null("doc_id").alias("doc_id"), "n_shingles", null("c").alias("component_id"))
+    return blocks, nodes.join(labels, "doc_id")
 
 
 def _row_answers(rows: DataFrame) -> DataFrame:

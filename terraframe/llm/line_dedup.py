@@ -127,9 +127,21 @@ def confirmed(sent: DataFrame, min_docs: int) -> DataFrame:
 
 def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped and kept, the lines that stay joined by a line feed, for each row of docs."""
+    return _dedup(docs, min_docs, min_chars, keep, id_col, text_col, carry=False)
+
+
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep: str = "first", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the text that stays; rows that had a word but lost all their words go. Other columns stay as they are,
+    and so do null texts."""
+    return _dedup(docs, min_docs, min_chars, keep, id_col, text_col, carry=True)
+
+
+def _dedup(docs: DataFrame, min_docs: int, min_chars: int, keep: str, id_col: str, text_col: str, carry: bool) -> DataFrame:
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
-    blocks = B.text_blocks(docs, id_col, text_col)
+    if carry:
+        docs = docs.withColumn("__text_is_null", F.col(text_col).isNull())
+    blocks = B.text_blocks(docs, id_col, text_col, carry)
     buckets = B.Buckets(docs.sparkSession, B.raw_bytes(blocks) // 40, True)
 
     def send_hashes(block):
@@ -169,9 +181,14 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
             n.append(b - a)
             dropped.append(g)
             kept.append(block.text(i) if not g else b"\n".join([raw[start[j] : end[j]] for j in range(a, b) if not gone[j]]))
+        if carry:
+            null = block.rest.column("__text_is_null").to_pylist()
+            stay = np.array([not g or bool(t.strip(b" \t\n\x0b\x0c\r")) for g, t in zip(dropped, kept)], bool)
+            out = block.carried(None, text_col, [None if x else t for x, t in zip(null, kept)])
+            return out.drop_columns(["__text_is_null"]).filter(pa.array(stay))
         return pa.table({"doc_id": block.out_ids(), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    return B.answer_blocks(blocks, repeated, drop, RESULT)
+    return B.answer_blocks(blocks, repeated, drop, docs.drop("__text_is_null").schema if carry else RESULT)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
