@@ -35,6 +35,8 @@ GRAM = 20
 HOT = 1000
 #: Strings in a batch, and batches of a shard at most (a larger shard has larger batches).
 BATCH, BATCHES = 1 << 15, 8
+#: Strings of a shard, about: a shard in work takes some 500 bytes for each.
+SHARD = 400_000
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 U64 = np.uint64
 
@@ -241,7 +243,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     raw = B.raw_bytes(blocks)
     spark = docs.sparkSession
     near = B.Buckets(spark, raw // 16, False)
-    shards = B.Buckets(spark, raw // 2, True)
+    shards = B.Buckets(spark, raw // 2, True, per_bucket=SHARD)
 
     def send_routes(block):
         _, _, route, doc = runs(block, length, gram)
