@@ -23,7 +23,7 @@ from terraframe.llm._session import table
 
 BUCKETS = 1 << 16
 PSEUDO = 10
-THRESHOLD = -0.07
+THRESHOLD = -0.1
 BROADCAST_ROWS = 1_000_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: White space, as code points: space, and tab to carriage return.
