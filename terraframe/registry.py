@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from terraframe.plans import base, lookup, merge, roads
+
+MODULES = (lookup, merge, roads)
+QUERIES = base.QUERIES
+ORACLE_SQL = base.ORACLE_SQL
+FLAGSHIP = "edge_totals"
