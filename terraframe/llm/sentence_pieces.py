@@ -23,9 +23,11 @@ the text back, but for U+2581 itself, which decodes to a space, and without the
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 1 << 26
 #: Words whose ids a worker keeps between batches.
-CACHE = 300_000
+CACHE = 600_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -101,7 +103,7 @@ class PieceModel:
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.low = min(self.scores, default=0.0) - 10.0
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
+        self._whole: frozenset[str] | None = None
 
     def merge(self, text: str) -> list[str]:
         """BPE by its definition: the best-scored pair is merged first, of equals the leftmost."""
@@ -114,23 +116,22 @@ class PieceModel:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _alone(self, piece: str) -> bool:
-        got = self._whole.get(piece)
-        if got is None:
-            got = self._whole[piece] = len(piece) == 1 or self.merge(piece) == [piece]
-        return got
+    def whole(self) -> frozenset[str]:
+        """The pieces that merging their own text gives; no other can be in a BPE segmentation. Found once."""
+        if self._whole is None:
+            self._whole = frozenset(p for p in self.ids if len(p) == 1 or self.merge(p) == [p])
+        return self._whole
 
     def _beside(self, a: str, b: str) -> bool:
-        got = self._pairs.get((a, b))
-        if got is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            got = self._pairs[a, b] = self.merge(a + b) == [a, b]
+        if len(self._pairs) > 2_000_000:
+            self._pairs.clear()
+        got = self._pairs[a, b] = self.merge(a + b) == [a, b]
         return got
 
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, pieces) for sorted distinct words, walking their trie depth-first."""
         bpe, ids, scores, longest = self.model_type == BPE, self.ids, self.scores, self.longest
+        whole, pairs = self.whole() if bpe else frozenset(), self._pairs
         last: list[str] = [""]  # last piece of each prefix's best segmentation
         total: list[float] = [0.0]
         before = ""
@@ -143,17 +144,22 @@ class PieceModel:
             del last[n + 1 :], total[n + 1 :]
             for end in range(n + 1, len(word) + 1):
                 single = word[end - 1 : end]
-                best, value = single, total[end - 1] + (scores[ids[single]] if single in ids else self.low)
+                best, value = single, -math.inf
                 for start in range(max(0, end - longest), end):
                     piece = word[start:end]
-                    if piece not in ids and end - start > 1:
-                        continue
                     if bpe:
-                        if self._alone(piece) and (start == 0 or self._beside(last[start], piece)):
-                            best = piece
-                            break
-                    elif piece in ids and total[start] + scores[ids[piece]] > value:
-                        best, value = piece, total[start] + scores[ids[piece]]
+                        if piece not in whole and start < end - 1:
+                            continue
+                        if start:
+                            fits = pairs.get((last[start], piece))
+                            if not (self._beside(last[start], piece) if fits is None else fits):
+                                continue
+                        best = piece
+                        break
+                    elif piece in ids or start == end - 1:  # the sum in 32 bits, of equals the longest piece, as the library has it
+                        now = np.float32(total[start]) + np.float32(scores[ids[piece]] if piece in ids else self.low)
+                        if now > value:
+                            best, value = piece, now
                 last.append(best)
                 total.append(value)
             out, end = [], len(word)
@@ -184,11 +190,11 @@ class PieceModel:
     def encode(self, texts: list[str], cache: dict[str, list[int]]) -> list[list[int]]:
         """Ids of each text. cache: ids of words, filled for all words of these texts."""
         split = [self.words(t) for t in texts]
-        new = sorted({w for ws in split for w in ws if w not in cache})
+        new = sorted(set(chain.from_iterable(split)).difference(cache))
         for word, pieces in self.segment(new):
             cache[word] = self.to_ids(pieces)
         get = cache.__getitem__
-        return [[i for w in ws for i in get(w)] for ws in split]
+        return [list(chain.from_iterable(map(get, ws))) for ws in split]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes in a row are decoded together, control pieces have no text."""
@@ -232,7 +238,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
                 if len(cache) > CACHE:
                     cache.clear()
                 ids = pieces.encode([t or "" for t in part.column(1).to_pylist()], cache)
-                flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([pieces.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
