@@ -10,11 +10,12 @@ least ``percent``/100.
    more, where o is the overlap that x needs at least. Each document picks its own l from 1 to ``DEPTH``, the one of the
    least estimated cost: the posting entries that its prefix meets, and the candidates left to verify, at most those
    entries divided by l. A pair must share the smaller of both l's.
+   A set's shingles that no other class has bound its overlap with all others; lists drop what can't link by that.
 4. Candidates are verified in rounds. In a round, each posting list whose documents lie in two or more components links
-   them to one hub, the smallest document of the list's largest component; these stars are verified and the components
-   joined. A group of thousands of near copies so takes about one pair per copy, not all pairs. When a round closes few
-   of the lists, all pairs of different components in the open lists are formed, their shared shingles counted against
-   l, and verified. So no link between components is missed; only pairs that are connected already aren't formed.
+   them to one hub, the document with the fewest shingles of its own that wasn't a hub before; these stars are verified
+   and the components joined. A group of thousands of near copies so takes about one pair per copy, not all pairs. When
+   a round closes few lists, all pairs of different components in the open lists are formed, each once, their shared
+   shingles counted against l, and verified. So no link between components is missed; only pairs that are connected already aren't formed.
 5. To verify, the smaller document's set goes once to each block that holds partners of it.
 
 Components come from alternating large and small stars (Kiveris et al., 2014), checkpointed; nothing is collected.
@@ -38,8 +39,10 @@ U64 = np.uint64
 #: Most matches that a document asks for, and the cost of a verification in posting entries.
 DEPTH, VERIFY = 8, 16
 SIZE, PERCENT = 4, 85
-#: Star rounds go on while each leaves at most this share of the open posting entries.
+#: Star rounds go on while each leaves at most this share of the open posting entries; then all pairs left are taken.
 CLOSED = 0.7
+#: Shingles of its own that an entry carries at most when all pairs are made.
+CARRIED = 512
 NODE_SCHEMA = "doc_id long, block_id long, row int, n_shingles long, d1 long, d2 long"
 
 
@@ -84,10 +87,10 @@ def digests(blocks: DataFrame, size: int) -> DataFrame:
 
 
 def adaptive_prefix(df: np.ndarray, n: int, percent: int, depth: int = DEPTH) -> tuple[int, int]:
-    """(l, prefix length) of a set of n shingles whose frequencies, rare first, are df."""
+    """(l, prefix length) of a set of n shingles whose frequencies, rare first, are df (0: in no other class)."""
     base = n - need(n, percent)
     most = min(depth, n - base)
-    meets = np.cumsum(np.where(df[: base + most] > 1, df[: base + most], 0))[base:]
+    meets = np.cumsum(df[: base + most])[base:]
     cost = meets + VERIFY * meets / np.arange(1, most + 1)
     best = int(np.argmin(cost)) + 1
     return best, base + best
@@ -97,62 +100,76 @@ POST_SCHEMA = "bucket long, blob binary"
 
 
 def postings(blocks: DataFrame, answers: DataFrame, frequent: B.Buckets, exact: B.Buckets, size: int, percent: int) -> DataFrame:
-    """(bucket, blob of token, document, set size, l) of all prefix shingles of class representatives. The answers hold
-    the frequencies, and the rows of the block that aren't representatives."""
+    """(bucket, blob of token, document, set size, l, block, shared size) of all prefix shingles of class representatives.
+    The answers hold the frequencies (0), the rows that aren't representatives (1), and the sizes of classes (2). The
+    shared size counts the shingles that documents outside the class have."""
     schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
 
     def run(block, got):
         key, d = shingle_sets(block, size)
         found, total = B.merged([a[1:] for a in got if a[0] == 0])[:2]
         skip = {int(x) for a in got if a[0] == 1 for x in np.frombuffer(a[1:], np.int32)}
+        copies = np.ones(len(block.ids), np.int64)
+        for a in got:
+            if a[0] == 2:
+                row, n = np.frombuffer(a[1:], np.int32).reshape(-1, 2).T
+                copies[row] = n
         hit, at = B.among(frequent.cut(key), found)
         df = np.ones(len(key), np.int64)
         df[hit] = total[at[hit]].astype(np.int64)
         o = np.lexsort((key, df, d))
         key, df = key[o], df[o]
+        shared = df > copies[d]
         bounds = np.searchsorted(d, np.arange(len(block.ids) + 1)).tolist()
-        take, ids, sizes, least = [], [], [], []
+        take, rows, least = [], [], []
         for i in range(len(block.ids)):
             a, n = bounds[i], bounds[i + 1] - bounds[i]
-            if n == 0 or i in skip:
-                continue
-            if not (df[a : a + n - need(n, percent) + 1] > 1).any():
+            if n == 0 or i in skip or not shared[a : a + n - need(n, percent) + 1].any():
                 continue  # nobody shares a shingle of the prefix that one match needs
-            best, length = adaptive_prefix(df[a : a + n], n, percent)
-            use = a + np.flatnonzero(df[a : a + length] > 1)
+            best, length = adaptive_prefix(np.where(shared[a : a + n], df[a : a + n], 0), n, percent)
+            use = a + np.flatnonzero(shared[a : a + length])
             take.append(use)
-            ids.append(np.full(len(use), block.ids[i]))
-            sizes.append(np.full(len(use), n))
+            rows.append(np.full(len(use), i))
             least.append(np.full(len(use), best))
         if not take:
             return pa.Table.from_batches([], schema=schema)
-        take, ids, sizes, least = (np.concatenate(x) for x in (take, ids, sizes, least))
-        key = key[take]
-        o = np.argsort(key, kind="stable")
-        key, ids, sizes, least = key[o], ids[o].view(U64) ^ U64(1 << 63), sizes[o], least[o]
-        own = np.full(len(o), block.block_id)
-        return pa.Table.from_batches([B.batch(schema, [(i, B.pack_arrays(key[a:b], ids[a:b], sizes[a:b], least[a:b], own[a:b])) for i, a, b in exact.split(key)])])
+        take, rows, least = (np.concatenate(x) for x in (take, rows, least))
+        sizes, common = np.bincount(d, minlength=len(block.ids)), np.bincount(d[shared], minlength=len(block.ids))
+        o = np.argsort(key[take], kind="stable")
+        key, rows, least = key[take][o], rows[o], least[o]
+        arrays = key, block.ids[rows].view(U64) ^ U64(1 << 63), sizes[rows], least, np.full(len(o), block.block_id), common[rows]
+        return pa.Table.from_batches([B.batch(schema, [(i, B.pack_arrays(*(x[a:b] for x in arrays))) for i, a, b in exact.split(key)])])
 
     return B.answer_blocks(blocks, answers, run, POST_SCHEMA)
 
 
-LIST_SCHEMA = "token long, doc_id long, n int, l int, block_id long"
+LIST_SCHEMA = "token long, doc_id long, n int, l int, block_id long, s int"
 
 
 def lists(posted: DataFrame, percent: int) -> DataFrame:
     """One row for each entry of a posting list of two or more documents that may link by their sizes."""
 
     def run(t: pa.Table) -> pa.Table:
-        key, ids, n, least, block = (np.concatenate(x) for x in zip(*(B.unpack_arrays(r["blob"]) for r in B.rows_of(t))))
+        key, ids, n, least, block, common = (np.concatenate(x) for x in zip(*(B.unpack_arrays(r["blob"]) for r in B.rows_of(t))))
         o = np.lexsort((ids, n, key))
-        key, ids, n, least, block = key[o], (ids[o] ^ U64(1 << 63)).view(np.int64), n[o].astype(np.int64), least[o].astype(np.int64), block[o].astype(np.int64)
-        # an entry stays if the next smaller or larger set in its list is near enough in size; the list is cut at gaps
-        cut = np.ones(len(key), bool)
-        cut[1:] = (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])
-        group = np.cumsum(cut) - 1
-        many = np.bincount(group, minlength=1)[group] > 1 if len(group) else cut[:0]
+        key, ids, least, block = key[o], (ids[o] ^ U64(1 << 63)).view(np.int64), least[o], block[o]
+        n, common = n[o].astype(np.int64), common[o].astype(np.int64)
+        for _ in range(2):  # what goes may leave others alone
+            # the list is cut where the next larger set is too large
+            cut = np.ones(len(key), bool)
+            cut[1:] = (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])
+            group = np.cumsum(cut) - 1
+            first = np.flatnonzero(cut)
+            last = np.append(first[1:], len(key)) - 1
+            # of a set's partners the best is the largest that isn't above what it shares, or the smallest that is
+            place = group * (1 << 32)
+            at = np.searchsorted(place + n, place + common, side="right")
+            below, above = n[np.maximum(at - 1, 0)], n[np.minimum(at, len(n) - 1)]
+            ok = (at > first[group]) & (100 * below >= percent * n) | (at <= last[group]) & (100 * common >= percent * (n + above - common))
+            ok &= (last > first)[group]
+            key, ids, least, block, n, common, group = (x[ok] for x in (key, ids, least, block, n, common, group))
         token = B.mix(key + group.astype(U64)).view(np.int64)
-        return pa.table({"token": token[many], "doc_id": ids[many], "n": pa.array(n[many], pa.int32()), "l": pa.array(least[many], pa.int32()), "block_id": block[many]})
+        return pa.table({"token": token, "doc_id": ids, "n": pa.array(n, pa.int32()), "l": pa.array(least.astype(np.int32)), "block_id": block.astype(np.int64), "s": pa.array(common, pa.int32())})
 
     return posted.groupBy("bucket").applyInArrow(run, LIST_SCHEMA)
 
@@ -219,13 +236,19 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     return labels.join(edges.select(F.col("hi").alias("c"), F.col("lo").alias("to")), "c", "left").select("doc_id", F.coalesce("to", "c").alias("c")).checkpoint()
 
 
-def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
+def near(a: str, b: str, percent: int) -> str:
+    """SQL: whether sets of n shingles, s of them shared, may link: their overlap is at most the smaller s."""
+    most = f"least({a}.s, {b}.s)"
+    return f"100 * {most} >= {percent} * ({a}.n + {b}.n - {most})"
+
+
+def star_pairs(entries: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, block_a, b, block_b) of each list's hub with its documents of other components. entries: token, doc_id,
-    n, block_id, c."""
-    heads = entries.groupBy("token", "c").agg(F.min(F.struct("doc_id", "n", "block_id")).alias("hub"), F.count("*").alias("k"))
-    hubs = heads.groupBy("token").agg(F.max_by(F.struct("hub", "c"), F.struct("k", -F.col("hub.doc_id"))).alias("h"))
-    near = f"h.c <> c and h.hub.n * 100 >= {percent} * n and n * 100 >= {percent} * h.hub.n"
-    return entries.join(hubs, "token").where(near).select(F.col("h.hub.doc_id").alias("a"), F.col("h.hub.block_id").alias("block_a"), F.col("doc_id").alias("b"), F.col("block_id").alias("block_b")).distinct()
+    n, s, block_id, c. The hub is the document with the fewest shingles of its own, of those not tried as hubs."""
+    e = entries.join(tried.withColumn("again", F.lit(1)), "doc_id", "left").withColumn("e", F.struct("doc_id", "block_id", "n", "s", "c"))
+    hubs = e.groupBy("token").agg(F.min_by("e", F.struct(F.coalesce("again", F.lit(0)).alias("again"), (F.col("n") - F.col("s")).alias("own"), F.col("doc_id").alias("i"))).alias("h"))
+    pairs = e.join(hubs, "token").where(f"h.c <> e.c and {near('h', 'e', percent)}")
+    return pairs.select(F.col("h.doc_id").alias("a"), F.col("h.block_id").alias("block_a"), F.col("e.doc_id").alias("b"), F.col("e.block_id").alias("block_b")).distinct()
 
 
 def open_lists(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -236,13 +259,17 @@ def open_lists(entries: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of documents of different components that share the matches that both ask for. entries as above, with
-    l. A list is dealt out over tasks by each pair's larger side, and pre-counted by pair."""
-    x = entries.select("token", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("block_id").alias("block_a"), F.col("c").alias("ca"))
-    y = entries.select("token", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("block_id").alias("block_b"), F.col("c").alias("cb"))
-    near = f"ca <> cb and a < b and na * 100 >= {percent} * nb and nb * 100 >= {percent} * na"
-    pairs = x.join(y, "token").where(near).groupBy("a", "block_a", "b", "block_b").agg(F.count("*").alias("k"), F.min(F.least("la", "lb")).alias("l"))
-    return pairs.where("k >= l").select("a", "block_a", "b", "block_b")
+    """All pairs of documents of different components that share the matches that both ask for. entries as above, with l.
+    A pair is made in the list of its least common shingle only, which each entry can tell as it carries the others of its
+    document; documents with more than CARRIED of them carry none, and their pairs are made distinct afterwards."""
+    own = entries.groupBy("doc_id").agg(F.collect_list("token").alias("t")).select("doc_id", F.when(F.size("t") <= CARRIED, F.col("t")).alias("t"))
+    e = entries.join(own, "doc_id")
+    x = e.select("token", F.struct("doc_id", "block_id", "n", "s", "l", "c", "t").alias("x"))
+    y = e.select("token", F.struct("doc_id", "block_id", "n", "s", "l", "c", "t").alias("y"))
+    both = "array_intersect(x.t, y.t)"
+    once = f"(x.t is null or y.t is null or array_min({both}) = token and size({both}) >= least(x.l, y.l))"
+    pairs = x.join(y, "token").where(f"x.doc_id < y.doc_id and x.c <> y.c and {near('x', 'y', percent)} and {once}")
+    return pairs.select(F.col("x.doc_id").alias("a"), F.col("x.block_id").alias("block_a"), F.col("y.doc_id").alias("b"), F.col("y.block_id").alias("block_b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,34 +309,35 @@ def _clusters(docs: DataFrame, size: int, percent: int, id_col: str, text_col: s
         yield B.send(block.block_id, frequent, keys, count)
 
     counted = B.count_answers(B.map_blocks(blocks, send_tokens, B.KEY_SCHEMA))
-    member = nodes.join(classes.where("copies > 1"), ["n_shingles", "d1", "d2"]).select("doc_id", "block_id", "row", F.col("r.doc_id").alias("rep"), ((F.col("r.block_id") != F.col("block_id")) | (F.col("r.row") != F.col("row"))).alias("copy")).checkpoint()
-    copies = _row_answers(member.where("copy"))
-    told = counted.withColumn("blob", F.concat(F.lit(b"\x00"), "blob")).unionByName(copies)
+    member = nodes.join(classes.where("copies > 1"), ["n_shingles", "d1", "d2"]).select("doc_id", "block_id", "row", F.col("r.doc_id").alias("rep"), F.col("copies").cast("int").alias("copies"), ((F.col("r.block_id") != F.col("block_id")) | (F.col("r.row") != F.col("row"))).alias("copy")).checkpoint()
+    told = counted.withColumn("blob", F.concat(F.lit(b"\x00"), "blob")).unionByName(_row_answers(member.where("copy"))).unionByName(_row_answers(member.where("not copy"), "copies"))
     entries = lists(postings(blocks, told, frequent, exact, size, percent), percent).checkpoint()
 
     # documents of a class share a label; so do rows of one doc_id
     labels = nodes.select("doc_id").distinct().withColumn("c", F.col("doc_id"))
     labels = components(member.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct(), labels)
-    left = None
+    tried, before = spark.createDataFrame([], "doc_id long"), None
     while True:
         open_ = open_lists(entries, labels).checkpoint()
-        before, left = left, open_.count()
+        left = open_.count()
         if not left:
             break
-        all_pairs = before is not None and left > CLOSED * before
-        pairs = rest_pairs(open_, percent) if all_pairs else star_pairs(open_, percent)
+        last = before is not None and left > CLOSED * before
+        pairs = (rest_pairs(open_, percent) if last else star_pairs(open_, tried, percent)).checkpoint()
         labels = components(verify(blocks, pairs, size, percent), labels)
-        if all_pairs:
+        if last:
             break
+        tried, before = tried.unionByName(pairs.select(F.col("a").alias("doc_id"))).distinct(), left
     return blocks, nodes.join(labels, "doc_id")
 
 
-def _row_answers(rows: DataFrame) -> DataFrame:
-    """(block_id, blob): a byte 1 and the block's row numbers as 32-bit numbers."""
+def _row_answers(rows: DataFrame, value: str | None = None) -> DataFrame:
+    """(block_id, blob): a byte 1 and the block's row numbers as 32-bit numbers; or 2 and pairs of these and a value."""
 
     def run(t: pa.Table) -> pa.Table:
-        at = np.sort(t.column("row").to_numpy()).astype(np.int32)
-        return pa.table({"block_id": pa.array([t.column("block_id")[0].as_py()], pa.int64()), "blob": pa.array([b"\x01" + at.tobytes()], pa.binary())})
+        columns = [t.column(c).to_numpy().astype(np.int32) for c in ("row", value) if c]
+        at = np.stack([c[np.argsort(columns[0])] for c in columns], axis=1)
+        return pa.table({"block_id": pa.array([t.column("block_id")[0].as_py()], pa.int64()), "blob": pa.array([bytes([len(columns)]) + at.tobytes()], pa.binary())})
 
     return rows.groupBy("block_id").applyInArrow(run, B.ANSWER_SCHEMA)
 
