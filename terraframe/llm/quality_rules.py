@@ -26,57 +26,60 @@ PSEUDO = 10
 THRESHOLD = -0.1
 BROADCAST_ROWS = 1_000_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: White space, as code points: space, and tab to carriage return.
-WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
-def ngrams(w: Column) -> Column:
-    """Buckets of all words and pairs of neighbouring words."""
-    n = F.size(w)
-    single = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-    pairs = F.when(n > 1, F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.concat(single, pairs)
+def neighbours(df: DataFrame, n: int) -> DataFrame:
+    """df with _near: for each word of _words, this and the n - 1 words after it, null beyond the last (fields _1 to _n)."""
+    names = [f"_{i + 1}" for i in range(n)]
+    shifted = {name: F.col("_words") if not i else F.slice("_words", F.lit(i + 1), F.greatest(F.size("_words") - i, F.lit(0))) for i, name in enumerate(names)}
+    return df.withColumns(shifted).withColumn("_near", F.arrays_zip(*names)).drop(*names)
 
 
-def n_repeat_words(sorted_windows: Column) -> Column:
-    """Words in windows found twice or more; from the windows (h, i) sorted by hash."""
-    s, n = sorted_windows, F.size(sorted_windows)
+def bucket(*c: Column) -> Column:
+    return F.pmod(F.xxhash64(*c), F.lit(BUCKETS)).cast("int")
+
+
+def n_repeat_words(hashes: Column) -> Column:
+    """Words in windows found twice or more, from the windows' hashes in order. Only texts with a repeat are sorted."""
+    s = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    n = F.size(hashes)
     same = F.zip_with(F.slice(s, F.lit(1), n - 1), F.slice(s, F.lit(2), n - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
     starts = F.flatten(F.filter(same, lambda x: x.isNotNull()))
     covered = F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))
-    return F.when(n > 1, F.size(F.array_distinct(covered))).otherwise(0)
+    return F.when(F.size(F.array_distinct(hashes)) < n, F.size(F.array_distinct(covered))).otherwise(0)
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the words as _words and the counts n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = docs.withColumn("_words", words(text))
-    w, n = F.col("_words"), F.size("_words")
-    grams = F.zip_with(F.zip_with(F.slice(w, F.lit(1), n - 2), F.slice(w, F.lit(2), n - 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.slice(w, F.lit(3), n - 2), lambda x, c: F.xxhash64(x["a"], x["b"], c))
-    windows = F.when(n > 3, F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, WHITE, "") != "")
-    df = df.withColumns({"_windows": windows, "_lines": lines})
+    df = neighbours(docs.withColumn("_words", words(text)), 3)
+    n = F.size("_words")
+    full = F.slice("_near", F.lit(1), F.greatest(n - 2, F.lit(0)))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = df.withColumns({"_hashes": F.transform(full, lambda x: F.xxhash64(x["_1"], x["_2"], x["_3"])), "_lines": lines})
     return df.withColumns({
         "n_words": n.cast("long"),
-        "word_chars": F.length(F.translate(text, WHITE, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": n_repeat_words(F.col("_windows")).cast("long"),
-    }).drop("_windows", "_lines")
+        "n_repeat_words": n_repeat_words(F.col("_hashes")).cast("long"),
+    }).drop("_hashes", "_lines", "_near")
 
 
 def gram_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (weights): log(p_target / p_raw) of each bucket."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_good")).where("_good is not null").distinct()
-    grams = docs.select(F.col(id_col).alias("_id"), ngrams(words(F.coalesce(F.col(text_col), F.lit("")))).alias("_grams"))
+    near = neighbours(docs.select(F.col(id_col).alias("_id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("_words")), 2).select("_id", "_near")
     if labels.count() <= BROADCAST_ROWS:
         good = F.broadcast(good)
-    marked = grams.join(good, F.col("_id") == F.col("_good"), "left").select(F.col("_good").isNotNull().cast("long").alias("t"), F.explode("_grams").alias("b"))
+    marked = near.join(good, F.col("_id") == F.col("_good"), "left").select(F.col("_good").isNotNull().cast("long").alias("t"), F.explode("_near").alias("x"))
+    one, two = bucket(F.col("x._1")), bucket(F.col("x._1"), F.col("x._2"))
+    marked = marked.select("t", F.explode(F.when(F.col("x._2").isNull(), F.array(one)).otherwise(F.array(one, two))).alias("b"))
     counts = marked.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     full = every.join(counts, "b", "left").na.fill(0, ["raw", "target"])
@@ -88,14 +91,16 @@ def gram_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the base counts, base_failed, score and kept."""
-    names = [c for c in docs.columns if c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept", "_words", "_weights", "_windows", "_lines")]
-    base = base_counts(docs.drop(*names), text_col)
+    own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    base = base_counts(docs.drop(*[c for c in docs.columns if c in own]), text_col)
+    pair = lambda x: F.when(x["_2"].isNull(), F.array(bucket(x["_1"]))).otherwise(F.array(bucket(x["_1"]), bucket(x["_1"], x["_2"])))
+    base = neighbours(base, 2).withColumn("_grams", F.flatten(F.transform("_near", pair)))
+    # the weights are referred to once, so that they stay an expression and no row gets a copy of them
     view = docs.sparkSession.sql("SELECT *, (SELECT weights FROM {w}) AS _weights FROM {d}", w=gram_weights(docs, labels, id_col, text_col), d=base)
-    grams = view.withColumn("_grams", ngrams(F.col("_words")))
     total = F.aggregate("_grams", F.lit(0.0), lambda acc, b: acc + F.col("_weights")[b])
-    out = grams.withColumn("score", F.when(F.col("n_words") > 0, total / F.size("_grams")).otherwise(0.0))
+    out = view.withColumn("score", F.when(F.col("n_words") > 0, total / F.size("_grams")).otherwise(0.0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_words", "_weights", "_grams")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_words", "_weights", "_near", "_grams")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
