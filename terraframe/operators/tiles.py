@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from terraframe.functions import geo, layers
 from terraframe.functions import tags as T
 from terraframe.model import Dataset
-from terraframe.operators import joins
+from terraframe.operators import geometry, joins
 
 EXTENT, BUFFER = 4096, 64
 
@@ -41,11 +41,40 @@ def drawn_ways(ds: Dataset) -> DataFrame:
     return ds.ways.where(F.size("tags") > 0).join(joins.relation_way_ids(ds), "id", "left_anti")
 
 
+def relation_parts(ds: Dataset) -> DataFrame:
+    """(id, part, kind, lines): a row for each polygon (kind 3; its rings, the outer one first) and each line (kind 2) of a
+    relation; lines are (ring, line) in order. References without a node go, and so does a polygon without its outer ring."""
+    refs = geometry.rings(ds).select("relation_id", F.lit(3).alias("kind"), F.col("polygon").alias("part"), "ring", "refs")
+    refs = refs.unionByName(geometry.lines(ds).select("relation_id", F.lit(2).alias("kind"), F.col("line").alias("part"), F.lit(0).alias("ring"), "refs"))
+    key = ["relation_id", "kind", "part"]
+    points = refs.select(*key, "ring", F.posexplode("refs").alias("pos", "ref")).join(ds.nodes.select(F.col("id").alias("ref"), "lon_e7", "lat_e7"), "ref")
+    line = points.groupBy(*key, "ring").agg(F.array_sort(F.collect_list(F.struct("pos", "lon_e7", "lat_e7"))).alias("p"))
+    line = line.select(*key, "ring", F.transform("p", lambda p: F.struct(p["lon_e7"].alias("lon_e7"), p["lat_e7"].alias("lat_e7"))).alias("line"))
+    parts = line.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ring", "line"))).alias("lines")).where("lines[0].ring = 0")
+    return parts.select(F.col("relation_id").alias("id"), "part", "kind", "lines")
+
+
+def relation_tiles(ds: Dataset, zoom: int) -> DataFrame:
+    """(z, x, y, id, part, kind, lines): relation_parts by the tiles that their boxes meet, and the points of point relations
+    (kind 1, one line) by the tiles that hold them."""
+    ends = lambda c, f: f(F.transform(F.flatten(F.col("lines.line")), lambda p: p[c]))
+    box = {"west": ends("lon_e7", F.array_min), "east": ends("lon_e7", F.array_max), "south": ends("lat_e7", F.array_min), "north": ends("lat_e7", F.array_max)}
+    names = ["z", "x", "y", "id", "part", "kind", "lines"]
+    drawn = box_tiles(relation_parts(ds).withColumns(box), zoom).select(*names)
+    kind = ds.relations.where(T.relation_kind(F.col("tags"), F.col("members")) == "point").select(F.col("id").alias("relation_id"))
+    held = node_tiles(joins.relation_points(ds).join(kind, "relation_id", "left_semi"), zoom).groupBy("z", "x", "y", "relation_id")
+    points = held.agg(F.array_sort(F.collect_list(F.struct("pos", "lon_e7", "lat_e7"))).alias("p")).withColumn("line", F.transform("p", lambda p: F.struct(p["lon_e7"].alias("lon_e7"), p["lat_e7"].alias("lat_e7"))))
+    points = points.select("z", "x", "y", F.col("relation_id").alias("id"), F.lit(0).alias("part"), F.lit(1).alias("kind"), F.array(F.struct(F.lit(0).alias("ring"), "line")).alias("lines"))
+    return drawn.unionByName(points)
+
+
 def features(ds: Dataset, zoom: int) -> DataFrame:
-    """(z, x, y, layer, id): tagged nodes, and tagged ways outside relations, by the tiles that their boxes meet."""
+    """(z, x, y, layer, id): tagged nodes, tagged ways outside relations, and area, line and point relations, by the tiles
+    that their boxes meet."""
     n = node_tiles(ds.nodes.where(F.size("tags") > 0), zoom).select("z", "x", "y", F.lit("nodes").alias("layer"), "id")
     w = box_tiles(joins.way_boxes(ds, drawn_ways(ds)), zoom).select("z", "x", "y", F.lit("ways").alias("layer"), F.col("way_id").alias("id"))
-    return n.unionByName(w)
+    r = relation_tiles(ds, zoom).select("z", "x", "y", F.lit("relations").alias("layer"), "id").distinct()
+    return n.unionByName(w).unionByName(r)
 
 
 def geometry_type(ways: DataFrame) -> DataFrame:
@@ -194,33 +223,48 @@ def _in_tile(lon: int, lat: int, z: int, x: int, y: int) -> tuple[float, float]:
     return ((lon / 1e7 + 180) / 360 * n - x) * EXTENT, ((0.5 - math.log((1 + s) / (1 - s)) / (4 * math.pi)) * n - y) * EXTENT
 
 
+def _polygon(rings: list[tuple[int, list]]) -> list[list[tuple[int, int]]]:
+    """Rings (ring, points) clipped and wound, the outer one (0) against the inner ones; empty without the outer one."""
+    out: list[list[tuple[int, int]]] = []
+    for number, points in rings:
+        ring = _rounded(clip_ring(points, -BUFFER, EXTENT + BUFFER))
+        area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))
+        if len(ring) >= 4 and area:
+            out.append(ring if (area < 0) == (number == 0) else ring[::-1])
+        elif number == 0:
+            return []
+    return out
+
+
 def vector_tiles(ds: Dataset, zoom: int) -> DataFrame:
-    """(z, x, y, features, tile): the bytes of each tile that holds something, with layers ways and nodes."""
-    n = node_tiles(ds.nodes.where(F.size("tags") > 0), zoom).select("z", "x", "y", "id", F.lit(1).alias("kind"), "tags", F.array(F.struct("lon_e7", "lat_e7")).alias("line"))
+    """(z, x, y, features, tile): the bytes of each tile that holds something, with layers ways, nodes and relations. A
+    relation is a feature for each of its polygons and lines, and one for its points in the tile."""
+    one = lambda c: F.array(F.struct(F.lit(0).alias("ring"), c.alias("line")))
+    names = ["z", "x", "y", "layer", "id", "part", "kind", "tags", "lines"]
+    n = node_tiles(ds.nodes.where(F.size("tags") > 0), zoom).select("z", "x", "y", F.lit("nodes").alias("layer"), "id", F.lit(0).alias("part"), F.lit(1).alias("kind"), "tags", one(F.array(F.struct("lon_e7", "lat_e7"))).alias("lines"))
     ways = geometry_type(drawn_ways(ds))
     lines = joins.way_lines(ds, ways).withColumnRenamed("way_id", "id").join(ways.select("id", "tags", F.when(F.col("geometry") == "Polygon", 3).otherwise(2).alias("kind")), "id")
     ends = lambda c, f: f(F.transform("line", lambda p: p[c]))
-    w = box_tiles(lines.withColumns({"west": ends("lon_e7", F.array_min), "east": ends("lon_e7", F.array_max), "south": ends("lat_e7", F.array_min), "north": ends("lat_e7", F.array_max)}), zoom).select("z", "x", "y", "id", "kind", "tags", "line")
+    w = box_tiles(lines.withColumns({"west": ends("lon_e7", F.array_min), "east": ends("lon_e7", F.array_max), "south": ends("lat_e7", F.array_min), "north": ends("lat_e7", F.array_max)}), zoom).select("z", "x", "y", F.lit("ways").alias("layer"), "id", F.lit(0).alias("part"), "kind", "tags", one(F.col("line")).alias("lines"))
+    r = relation_tiles(ds, zoom).join(ds.relations.select("id", "tags"), "id").withColumn("layer", F.lit("relations")).select(*names)
 
     def run(t: pa.Table) -> pa.Table:
         z, x, y = (t.column(c)[0].as_py() for c in "zxy")
-        named: dict[str, list[dict]] = {"ways": [], "nodes": []}
-        for r in sorted(t.select(["id", "kind", "tags", "line"]).to_pylist(), key=lambda r: (r["kind"], r["id"])):
-            points = [_in_tile(p["lon_e7"], p["lat_e7"], z, x, y) for p in r["line"]]
+        named: dict[str, list[dict]] = {"ways": [], "nodes": [], "relations": []}
+        for r in sorted(t.select(["layer", "id", "part", "kind", "tags", "lines"]).to_pylist(), key=lambda r: (r["kind"], r["id"], r["part"])):
+            lines = [(p["ring"], [_in_tile(q["lon_e7"], q["lat_e7"], z, x, y) for q in p["line"]]) for p in r["lines"]]
             if r["kind"] == 1:
-                parts = [_rounded(points)]
+                parts = [_rounded(points) for _, points in lines]
             elif r["kind"] == 2:
-                parts = [p for piece in clip_line(points, -BUFFER, EXTENT + BUFFER) if len(p := _rounded(piece)) >= 2]
+                parts = [p for _, points in lines for piece in clip_line(points, -BUFFER, EXTENT + BUFFER) if len(p := _rounded(piece)) >= 2]
             else:
-                ring = _rounded(clip_ring(points, -BUFFER, EXTENT + BUFFER))
-                area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:]))
-                parts = [ring if area < 0 else ring[::-1]] if len(ring) >= 4 and area else []
+                parts = _polygon(lines)
             if parts:
-                named["nodes" if r["kind"] == 1 else "ways"].append({"id": r["id"], "kind": r["kind"], "parts": parts, "properties": dict(r["tags"])})
+                named[r["layer"]].append({"id": r["id"], "kind": r["kind"], "parts": parts, "properties": dict(r["tags"] or ())})
         count = sum(map(len, named.values()))
         return pa.table({"z": pa.array([z], pa.int32()), "x": pa.array([x], pa.int32()), "y": pa.array([y], pa.int32()), "features": pa.array([count], pa.int64()), "tile": pa.array([encode_tile(named)], pa.binary())})
 
-    return n.unionByName(w).groupBy("z", "x", "y").applyInArrow(run, "z int, x int, y int, features long, tile binary")
+    return n.unionByName(w).unionByName(r).groupBy("z", "x", "y").applyInArrow(run, "z int, x int, y int, features long, tile binary")
 
 
 def raster_tiles(ds: Dataset, zoom: int, size: int = 256, color: tuple[int, int, int, int] = (60, 60, 60, 255)) -> DataFrame:

@@ -125,6 +125,12 @@ _Y = "(0.5 - ln((1 + sin(radians({c} / 1e7))) / (1 - sin(radians({c} / 1e7)))) /
 UNION ALL SELECT x, unnest(range(CAST(floor({_Y.format(c='north')}) AS INTEGER), CAST(floor({_Y.format(c='south')}) AS INTEGER) + 1)), 'ways' FROM (SELECT *, unnest(range(CAST(floor((west / 1e7 + 180) / 360 * 16384) AS INTEGER), CAST(floor((east / 1e7 + 180) / 360 * 16384) AS INTEGER) + 1)) AS x FROM b WHERE way_id NOT IN (SELECT ref FROM c WHERE type = 'way') AND way_id IN (SELECT id FROM ways WHERE cardinality(tags) > 0)))
 SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, layer, count(*) AS n FROM f GROUP BY ALL""")
 def tile_feature_counts(ds: Dataset) -> DataFrame:
+    """Nodes and ways outside relations only, as its SQL has no rings; all layers are in tile_layer_counts."""
+    return tiles.features(ds, 14).where("layer <> 'relations'").groupBy("x", "y", "layer").agg(F.count("*").alias("n"))
+
+
+@query()
+def tile_layer_counts(ds: Dataset) -> DataFrame:
     return tiles.features(ds, 14).groupBy("x", "y", "layer").agg(F.count("*").alias("n"))
 
 
