@@ -4,13 +4,18 @@ Unigrams and bigrams of words are hashed into ``BUCKETS`` buckets. Two multinomi
 raw corpus, and the trusted target, the documents with ``quality`` 1 in the labels. Each bucket gets ``PSEUDO`` more
 n-grams in the raw corpus, and the target's share of them in the target, so that what is rare weighs little. A document's
 score is the mean over its n-grams of log(p_target / p_raw); it is kept if it passes the base rules and its score is at
-least ``THRESHOLD``. Every document gets a score; equal inputs give equal verdicts.
+least the cut of its language. Every document gets a score; equal inputs give equal verdicts.
+
+An unlabelled document's n-grams count in raw only, which lowers its score the more, the fewer trusted documents its
+language has. The cut allows for that: each trusted document is scored as if it weren't in the target, and the cut of a
+language is ``THRESHOLD``, or, where that is lower, the mean of these scores less 3 + 6 / n of their deviations, with n such
+documents. Without any, nothing is known of a language, and the base rules decide.
 
 The counts are pre-aggregated to at most BUCKETS rows in each task. The weights, BUCKETS doubles whatever the input, come
 in by a scalar subquery, so the texts are never shuffled or joined for scoring. Labels are broadcast for the target's
 count where they have at most ``BROADCAST_ROWS`` rows, else joined by a shuffle of doc_id and n-gram buckets.
 
-Defined results: a null text has no words; documents without words score 0 and fail the base rules. Null labels, and
+Defined results: null languages are one language; a null text has no words; documents without words score 0 and fail the base rules. Null labels, and
 labels of unknown documents, are ignored; without any trusted document all weights are 0, and the base rules decide.
 """
 
@@ -20,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraframe.llm._session import table
+from terraframe.model import checkpointed
 
 BUCKETS = 1 << 16
 PSEUDO = 10
@@ -71,38 +77,80 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }).drop("_hashes", "_lines", "_near")
 
 
-def gram_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row (weights): log(p_target / p_raw) of each bucket."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """(_good): ids of trusted documents, to be broadcast where the labels are few."""
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_good")).where("_good is not null").distinct()
+    return F.broadcast(good) if labels.count() <= BROADCAST_ROWS else good
+
+
+def gram_counts(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row (x, r, t): raw and target counts of each bucket, and their sums."""
     near = neighbours(docs.select(F.col(id_col).alias("_id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("_words")), 2).select("_id", "_near")
-    if labels.count() <= BROADCAST_ROWS:
-        good = F.broadcast(good)
     marked = near.join(good, F.col("_id") == F.col("_good"), "left").select(F.col("_good").isNotNull().cast("long").alias("t"), F.explode("_near").alias("x"))
     one, two = bucket(F.col("x._1")), bucket(F.col("x._1"), F.col("x._2"))
     marked = marked.select("t", F.explode(F.when(F.col("x._2").isNull(), F.array(one)).otherwise(F.array(one, two))).alias("b"))
     counts = marked.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     full = every.join(counts, "b", "left").na.fill(0, ["raw", "target"])
-    one = full.agg(F.array_sort(F.collect_list(F.struct("b", "raw", "target"))).alias("x"), F.sum("raw").alias("r"), F.sum("target").alias("t"))
+    return full.agg(F.array_sort(F.collect_list(F.struct("b", "raw", "target"))).alias("x"), F.sum("raw").alias("r"), F.sum("target").alias("t"))
+
+
+def gram_weights(counts: DataFrame) -> DataFrame:
+    """One row (weights): log(p_target / p_raw) of each bucket."""
     share = F.col("t") / F.col("r")
     ratio = lambda x: F.log((x["target"] / share + PSEUDO) / (x["raw"] + PSEUDO))
-    return one.select(F.when(F.col("t") > 0, F.transform("x", ratio)).otherwise(F.array_repeat(F.lit(0.0), BUCKETS)).alias("weights"))
+    return counts.select(F.when(F.col("t") > 0, F.transform("x", ratio)).otherwise(F.array_repeat(F.lit(0.0), BUCKETS)).alias("weights"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the base counts, base_failed, score and kept."""
+def grams(near: str = "_near") -> Column:
+    pair = lambda x: F.when(x["_2"].isNull(), F.array(bucket(x["_1"]))).otherwise(F.array(bucket(x["_1"]), bucket(x["_1"], x["_2"])))
+    return F.flatten(F.transform(near, pair))
+
+
+def language(docs: DataFrame, lang_col: str) -> Column:
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")
+
+
+def held_out_scores(docs: DataFrame, good: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(_lang, s): the score of each trusted document of MIN_WORDS words or more, its own n-grams not in the target."""
+    own = docs.select(F.col(id_col).alias("_id"), language(docs, lang_col).alias("_lang"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"))
+    own = neighbours(own.join(good, F.col("_id") == F.col("_good"), "left_semi").where(F.size("_words") >= MIN_WORDS), 2)
+    own = own.select("_lang", (2 * F.size("_words") - 1).alias("_n"), F.concat(F.sort_array(grams()), F.array(F.lit(-1))).alias("_sorted"))
+    # the counts are referred to once, as are the weights below
+    view = docs.sparkSession.sql("SELECT *, (SELECT x FROM {c}) AS _x, (SELECT r FROM {c}) AS _r, (SELECT t FROM {c}) AS _t FROM {d}", c=counts, d=own).where("_t > _n")
+    share = (F.col("_t") - F.col("_n")) / F.col("_r")
+    term = lambda b, n: F.transform(F.array(F.col("_x")[b]), lambda y: n * F.log(((y["target"] - n) / share + PSEUDO) / (y["raw"] + PSEUDO)))[0]
+    state = lambda b, n, s: F.struct(b.alias("b"), n.alias("n"), s.alias("s"))
+    # of sorted buckets, a run's term is added when the next one begins
+    step = lambda acc, b: F.when(b == acc["b"], state(acc["b"], acc["n"] + 1, acc["s"])).otherwise(state(b, F.lit(1), acc["s"] + F.when(acc["n"] > 0, term(acc["b"], acc["n"])).otherwise(0.0)))
+    total = F.aggregate("_sorted", state(F.lit(-2), F.lit(0), F.lit(0.0)), step, lambda acc: acc["s"])
+    return view.select("_lang", (total / F.col("_n")).alias("s"))
+
+
+def cuts(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(_lang, _cut) of the languages that have trusted documents."""
+    low = F.avg("s") - (3 + 6 / F.count("*")) * F.stddev_pop("s")
+    return scores.groupBy("_lang").agg(F.least(low, F.lit(threshold)).alias("_cut"))
+
+
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with the base counts, base_failed, score and kept. Without a column lang_col, all documents are of one language."""
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
     base = base_counts(docs.drop(*[c for c in docs.columns if c in own]), text_col)
-    pair = lambda x: F.when(x["_2"].isNull(), F.array(bucket(x["_1"]))).otherwise(F.array(bucket(x["_1"]), bucket(x["_1"], x["_2"])))
-    base = neighbours(base, 2).withColumn("_grams", F.flatten(F.transform("_near", pair)))
+    base = neighbours(base, 2).withColumn("_grams", grams())
+    good = trusted_ids(labels)
+    counts = checkpointed(gram_counts(docs, good, id_col, text_col))
     # the weights are referred to once, so that they stay an expression and no row gets a copy of them
-    view = docs.sparkSession.sql("SELECT *, (SELECT weights FROM {w}) AS _weights FROM {d}", w=gram_weights(docs, labels, id_col, text_col), d=base)
+    view = docs.sparkSession.sql("SELECT *, (SELECT weights FROM {w}) AS _weights FROM {d}", w=gram_weights(counts), d=base)
     total = F.aggregate("_grams", F.lit(0.0), lambda acc, b: acc + F.col("_weights")[b])
     out = view.withColumn("score", F.when(F.col("n_words") > 0, total / F.size("_grams")).otherwise(0.0))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_words", "_weights", "_near", "_grams")
+    out = out.withColumn("base_failed", failed).withColumn("_of", language(docs, lang_col)).drop("_words", "_weights", "_near", "_grams")
+    limit = F.broadcast(cuts(held_out_scores(docs, good, counts, id_col, text_col, lang_col), threshold))
+    out = out.join(limit, F.col("_of") == F.col("_lang"), "left")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= F.col("_cut"), F.lit(True))).drop("_of", "_lang", "_cut")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
