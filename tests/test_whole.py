@@ -1,9 +1,12 @@
 """Whole results of the map queries, by hand or against brute force."""
 
+import inspect
+
+import pytest
 from pyspark.sql import functions as F
 
 from terraframe import model
-from terraframe.operators import tiles
+from terraframe.operators import graph, tiles
 from terraframe.sources import pbf
 
 
@@ -26,3 +29,11 @@ def test_tiles_draw_relations(spark):
     commands = found["relations", 1][1]
     assert sum(c == 15 for c in commands) == 2 and commands[0] == 9 and found["relations", 3][1][0] == 1 | 2 << 3
     assert tiles.relation_parts(ds).where("id = 1").select(F.size("lines")).first()[0] == 2
+
+
+def test_distances_are_final_or_an_error(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1.0, 1.0) for i in range(1, 6)], "src long, dst long, distance float, time float")
+    with pytest.raises(ValueError, match="not final"):
+        graph.distances(edges, 1, rounds=3)
+    assert {r["node"]: r["cost"] for r in graph.distances(edges, 1, rounds=5).collect()} == {i: (i - 1) * 1000 for i in range(1, 7)}
+    assert inspect.signature(graph.distances).parameters["rounds"].default is None
