@@ -3,7 +3,7 @@
 The network is small (``HIDDEN`` units each way, hard sigmoid and hard tanh gates) and trained here, in numpy, by
 backpropagation through time with Adam; it learns from windows of at most ``SAMPLE_CHARS`` characters of at most
 ``SAMPLE_DOCS`` documents of each language, picked by a hash of their ids: the bound of what the driver gets, at any
-input. It labels every byte position with language probabilities. A document's probabilities are the mean over all
+number of documents; all languages are learned. It labels every byte position with language probabilities. A document's probabilities are the mean over all
 positions of its whole text, read in stretches of ``STRETCH`` bytes side by side; a long text only has more of them.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if there is nothing to
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from terraframe.llm._session import table
 
 HIDDEN, STRETCH, LANES = 8, 128, 4096
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 256, 2048, 200
+SAMPLE_DOCS, SAMPLE_CHARS = 256, 2048
 STEPS, BATCH, LENGTH, RATE = 300, 96, 48, 0.02
 LETTER = re.compile(r"[^\W\d_]")
 FOLDS, HELD_OUT = 3, 1
@@ -158,15 +158,13 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteGru | None:
     """The network, learned from the rows of docs that have a language and some text; None if there are none."""
     own = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.lit(None).cast("double")
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(1.5 * SAMPLE_DOCS / n)).otherwise(share)
+    share = F.broadcast(docs.sparkSession.createDataFrame([(lang, 1.5 * SAMPLE_DOCS / n) for lang, n in counts.items()], "lang string, share double"))
     h = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30))
     window = F.expr(f"substring(text, cast(pmod(xxhash64(id, 1), greatest(length(text) - {SAMPLE_CHARS}, 1)) as int) + 1, {SAMPLE_CHARS})")
-    picked = own.withColumn("h", h).where(F.col("h") < share * (1 << 30)).select("lang", "h", "id", window.alias("text"))
+    picked = own.join(share, "lang").withColumn("h", h).where(F.col("h") < F.col("share") * (1 << 30)).select("lang", "h", "id", window.alias("text"))
     samples: dict[str, list] = {lang: [] for lang in sorted(counts)}
     for r in sorted(picked.collect(), key=lambda r: (r["h"], r["id"] or "", r["text"] or "")):
         if r["text"] and len(samples[r["lang"]]) < SAMPLE_DOCS:
