@@ -170,12 +170,19 @@ def ways_bbox_intersects(ds: Dataset) -> DataFrame:
 
 @query(f"{BOXES} SELECT way_id, round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(greatest(43.74 - north / 1e7, south / 1e7 - 43.74, 0)) / 2), 2))), 1) AS meters FROM b WHERE west <= 74200000 AND east >= 74200000 AND (south > 437400000 OR north < 437400000) ORDER BY round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(greatest(43.74 - north / 1e7, south / 1e7 - 43.74, 0)) / 2), 2))), 1), way_id LIMIT 20")
 def knn_ways(ds: Dataset) -> DataFrame:
-    """The 20 ways straight north or south of a point that are nearest by their boxes: a top-k report."""
+    """The 20 ways straight north or south of a point that are nearest by their boxes: a top-k report of what its SQL covers;
+    nearest_ways has all ways."""
     boxes = joins.way_boxes(ds).where("west <= 74200000 and east >= 74200000 and (south > 437400000 or north < 437400000)")
     every = spatial.box_distances(boxes, 7.42, 43.74).withColumn("meters", F.round("meters", 1))
     return every.orderBy("meters", "way_id").limit(20).select("way_id", "meters")
 
 
+@query()
+def nearest_ways(ds: Dataset) -> DataFrame:
+    """The 20 ways that are nearest to a point by their boxes: a top-k report."""
+    return spatial.nearest_boxes(joins.way_boxes(ds), "way_id", 7.42, 43.74, 20).select("way_id", F.round("meters", 1).alias("meters"))
+
+
 CLOSURE = ", m AS (SELECT id, unnest(members, max_depth := 2) FROM relations), c AS (SELECT id AS root, type, ref FROM m UNION SELECT c.root, m.type, m.ref FROM c JOIN m ON c.type = 'relation' AND m.id = c.ref)"
 
 

@@ -1,12 +1,14 @@
 """Whole results of the map queries, by hand or against brute force."""
 
 import inspect
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from terraframe import model
 from terraframe.operators import graph, tiles
+from terraframe.plans import lookup
 from terraframe.sources import pbf
 
 
@@ -37,3 +39,20 @@ def test_distances_are_final_or_an_error(spark):
         graph.distances(edges, 1, rounds=3)
     assert {r["node"]: r["cost"] for r in graph.distances(edges, 1, rounds=5).collect()} == {i: (i - 1) * 1000 for i in range(1, 7)}
     assert inspect.signature(graph.distances).parameters["rounds"].default is None
+
+
+def test_nearest_ways(spark):
+    lon, lat = 7.42, 43.74
+    spots = {1: (0, 0), 2: (0.001, 0), 3: (-0.002, 0.0001), 4: (0, 0.003), 5: (0.004, 0.004)}
+    nodes = [(k * 10 + i, lon + x + d, lat + y + d, {}) for k, (x, y) in spots.items() for i, d in ((0, -0.0001), (1, 0.0001))]
+    ds = model.from_rows(spark, nodes, [(k, [k * 10, k * 10 + 1], {}) for k in spots])
+    got = [(r["way_id"], r["meters"]) for r in lookup.nearest_ways(ds).collect()]
+
+    def meters(x, y):
+        x, y = math.radians(max(abs(x) - 0.0001, 0)), math.radians(max(abs(y) - 0.0001, 0))
+        a = math.radians(lat)
+        return 2 * 6371008.8 * math.asin(math.sqrt(math.sin(y / 2) ** 2 + math.cos(a) * math.cos(a + y) * math.sin(x / 2) ** 2))
+
+    want = sorted((meters(*p), k) for k, p in spots.items())
+    assert [k for k, _ in got] == [k for _, k in want] and got[0][1] == 0
+    assert all(abs(a - b) < 0.5 for (_, a), (b, _) in zip(got, want))
