@@ -52,8 +52,8 @@ def tag_postings(ds: Dataset) -> DataFrame:
 
 @query("SELECT s, dense_rank() OVER (ORDER BY s) AS code FROM (SELECT unnest(map_keys(tags)) AS s FROM nodes UNION SELECT unnest(map_values(tags)) FROM nodes WHERE list_contains(map_keys(tags), 'amenity'))")
 def string_table(ds: Dataset) -> DataFrame:
-    """Distinct strings with dense codes in their order. The distinct strings are range-partitioned; codes add up from the
-    partitions' sizes."""
+    """Distinct keys of nodes and values of nodes with an amenity, with dense codes in their order; full_string_table has all
+    strings. The distinct strings are range-partitioned; codes add up from the partitions' sizes."""
     from terraframe.operators.change import new_ids
 
     keys = ds.nodes.select(F.explode(F.map_keys("tags")).alias("s"))
@@ -62,6 +62,17 @@ def string_table(ds: Dataset) -> DataFrame:
     return new_ids(keys.unionByName(values).distinct(), none, ["s"]).select("s", F.col("id").alias("code"))
 
 
+@query()
+def full_string_table(ds: Dataset) -> DataFrame:
+    """Distinct tag keys and values of nodes, ways and relations, and member roles, with dense codes in their order."""
+    from terraframe.operators.change import new_ids
+
+    tags = ds.wide().select(F.explode(F.concat(F.map_keys("tags"), F.map_values("tags"))).alias("s"))
+    roles = joins.members(ds).select(F.col("role").alias("s"))
+    none = ds.nodes.sparkSession.createDataFrame([(0,)], "id long")
+    return new_ids(tags.unionByName(roles).where("s is not null").distinct(), none, ["s"]).select("s", F.col("id").alias("code"))
+
+
 @query("SELECT id FROM ways WHERE list_contains(map_keys(tags), 'highway') OR tags['public_transport'] = 'platform' OR tags['railway'] = 'platform' OR list_contains(map_keys(tags), 'park_ride')")
 def transit_filter(ds: Dataset) -> DataFrame:
     return extract.filter_by_tags(ds, T.TRANSIT_EXTRACT).ways.select("id")

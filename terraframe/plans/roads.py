@@ -104,10 +104,16 @@ UNION ALL SELECT 'node', id, 'sites', NULL FROM nodes WHERE false)"""
 
 @query(f"{LAYER} SELECT layer, kind, count(*) AS n FROM lf GROUP BY layer, kind")
 def layer_features(ds: Dataset) -> DataFrame:
-    """Open ways only: whether a building or water way is closed differs by chance in these tables."""
+    """Open ways only, as in its SQL: whether a building or water way is closed differs by chance in these tables;
+    all_layer_features has all layers."""
     return tiles.layer_features(ds).where("layer not in ('buildings', 'water')").groupBy("layer", "kind").agg(F.count("*").alias("n"))
 
 
+@query()
+def all_layer_features(ds: Dataset) -> DataFrame:
+    return tiles.layer_features(ds).groupBy("layer", "kind").agg(F.count("*").alias("n"))
+
+
 @query("SELECT id, CAST(CASE WHEN tags['amenity'] IS NOT NULL THEN 512 ELSE 0 END + CASE WHEN tags['place'] IS NOT NULL THEN 1024 ELSE 0 END AS INTEGER) AS mask FROM nodes")
 def layer_mask(ds: Dataset) -> DataFrame:
     return ds.nodes.select("id", layers.layer_mask(F.col("tags"), F.lit("Point")).alias("mask"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terraframe import model
 from terraframe.operators import graph, tiles
-from terraframe.plans import lookup
+from terraframe.plans import lookup, roads
 from terraframe.sources import pbf
 
 
@@ -56,3 +56,13 @@ def test_nearest_ways(spark):
     want = sorted((meters(*p), k) for k, p in spots.items())
     assert [k for k, _ in got] == [k for _, k in want] and got[0][1] == 0
     assert all(abs(a - b) < 0.5 for (_, a), (b, _) in zip(got, want))
+
+
+def test_all_layers_and_strings(spark):
+    nodes = [(i, i / 10, i / 10 * (i % 2), {"note": "n1"} if i == 1 else {}) for i in range(1, 4)]
+    ways = [(1, [1, 2, 3, 1], {"building": "yes"}), (2, [1, 2, 3, 1], {"natural": "water"}), (3, [1, 2], {"highway": "primary"})]
+    ds = model.from_rows(spark, nodes, ways, [(1, [("way", 1, "outer")], {"type": "multipolygon"})])
+    got = {(r["layer"], r["kind"], r["n"]) for r in roads.all_layer_features(ds).collect()}
+    assert {("buildings", "building", 1), ("water", "water", 1), ("streets", "primary", 1)} <= got
+    want = sorted({"note", "n1", "building", "yes", "natural", "water", "highway", "primary", "type", "multipolygon", "outer"})
+    assert sorted((r["code"], r["s"]) for r in lookup.full_string_table(ds).collect()) == list(enumerate(want, 1))
