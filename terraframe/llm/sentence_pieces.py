@@ -3,7 +3,9 @@
 A batch's texts are split into marked words (U+2581 for each space, then the word); no piece crosses from a word into the
 next mark, which is checked when the model is read. The distinct words are sorted, which puts them in the order of a
 depth-first walk of their trie: each word keeps the forward states of the prefix that it shares with the one before, and
-only the characters after it are scored. So every trie node is scored once, however many words lead through it.
+only the characters after it are scored. So every trie node is scored once, however many words lead through it. Runs of
+characters that no longer piece has, such as line feeds, are words of their own. The pieces that may end at a character are
+found by walking the trie of the reversed pieces.
 
 The forward state of a prefix is that of its best segmentation:
 
@@ -16,7 +18,9 @@ The forward state of a prefix is that of its best segmentation:
 Characters without a piece become byte pieces, or the unknown piece if the model has none. The model comes from the
 caller's file, is read once on the driver and broadcast (its size is fixed; it is refused above ``MAX_MODEL_BYTES``).
 
-Defined results: a null or empty text has no ids and decodes to an empty one. Long texts are encoded whole. Decoding gives
+Defined results: a null or empty text has no ids and decodes to an empty one. Long texts are encoded whole; equal rows get
+equal results, each its own; empty tables give empty results; columns other than id and text are ignored, whatever their
+names. A word takes some 20 bytes of memory a character while it is segmented. Decoding gives
 the text back, but for U+2581 itself, which decodes to a space, and without the pieces for unknown characters.
 """
 
@@ -26,11 +30,13 @@ import hashlib
 import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +45,14 @@ from terraframe.llm._session import table
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 1 << 26
-#: Words whose ids a worker keeps between batches.
-CACHE = 600_000
+#: Bytes of words, of their ids and of Python's objects for both that a worker keeps between batches, about.
+CACHE = 48 << 20
+#: What an entry of that cache takes besides its characters and ids.
+ENTRY = 190
+#: Pairs of pieces of which a worker knows whether they may stand side by side.
+PAIRS = 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 SCHEMA = "doc_id long, ids array<int>, decoded string"
 
 
@@ -98,22 +107,31 @@ class PieceModel:
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (NORMAL, USER)}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a mark behind a word: texts can't be split at words")
-        self.longest = max(map(len, self.ids), default=1)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
+        # characters of no longer piece stand for themselves; runs of them are words of their own, so there are fewer words
+        joined = set(chain.from_iterable(p for p in self.ids if len(p) > 1))
+        alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in joined) if self.bytes else ""
+        self.word = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]+" if alone else ""))
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.low = min(self.scores, default=0.0) - 10.0
-        self._pairs: dict[tuple[str, str], bool] = {}
+        self._known = 0
         self._whole: frozenset[str] | None = None
+        self._backward: dict | None = None
+        self._surface: tuple | None = None
+        self.rank = {p: self.scores[i] for p, i in self.ids.items()}
 
     def merge(self, text: str) -> list[str]:
         """BPE by its definition: the best-scored pair is merged first, of equals the leftmost."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(((self.scores[i], -k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None), default=None)
-            if best is None:
-                return parts
-            k = -best[1]
+        parts, rank = list(text), self.rank
+        pairs = [rank.get(x + y, -math.inf) for x, y in zip(parts, parts[1:])]
+        while pairs and (best := max(pairs)) > -math.inf:
+            k = pairs.index(best)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k:
+                pairs[k - 1] = rank.get(parts[k - 1] + parts[k], -math.inf)
+            if k < len(pairs):
+                pairs[k] = rank.get(parts[k] + parts[k + 1], -math.inf)
         return parts
 
     def whole(self) -> frozenset[str]:
@@ -122,16 +140,28 @@ class PieceModel:
             self._whole = frozenset(p for p in self.ids if len(p) == 1 or self.merge(p) == [p])
         return self._whole
 
-    def _beside(self, a: str, b: str) -> bool:
-        if len(self._pairs) > 2_000_000:
-            self._pairs.clear()
-        got = self._pairs[a, b] = self.merge(a + b) == [a, b]
+    def _beside(self, a: str, b: str, fits: dict[str, bool]) -> bool:
+        self._known += 1
+        got = fits[a] = self.merge(a + b) == [a, b]
         return got
 
+    def backward(self) -> dict:
+        """The trie of the reversed pieces of two characters or more that can be in a segmentation: a node is its children,
+        its piece if it has one, and the pieces known to fit before that or not to. Built once, and when it knows too many."""
+        if self._backward is None or self._known > PAIRS:
+            self._backward, self._known = {}, 0
+            for piece in self.whole() if self.model_type == BPE else self.ids:
+                if len(piece) > 1:
+                    children, node = self._backward, None
+                    for c in reversed(piece):
+                        node = children.setdefault(c, [{}, None, None])
+                        children = node[0]
+                    node[1:] = piece, {}
+        return self._backward
+
     def segment(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """(word, pieces) for sorted distinct words, walking their trie depth-first."""
-        bpe, ids, scores, longest = self.model_type == BPE, self.ids, self.scores, self.longest
-        whole, pairs = self.whole() if bpe else frozenset(), self._pairs
+        bpe, ids, scores, root = self.model_type == BPE, self.ids, self.scores, self.backward()
         last: list[str] = [""]  # last piece of each prefix's best segmentation
         total: list[float] = [0.0]
         before = ""
@@ -143,31 +173,38 @@ class PieceModel:
                 n += 1
             del last[n + 1 :], total[n + 1 :]
             for end in range(n + 1, len(word) + 1):
-                single = word[end - 1 : end]
-                best, value = single, -math.inf
-                for start in range(max(0, end - longest), end):
-                    piece = word[start:end]
-                    if bpe:
-                        if piece not in whole and start < end - 1:
-                            continue
-                        if start:
-                            fits = pairs.get((last[start], piece))
-                            if not (self._beside(last[start], piece) if fits is None else fits):
-                                continue
-                        best = piece
-                        break
-                    elif piece in ids or start == end - 1:  # the sum in 32 bits, of equals the longest piece, as the library has it
-                        now = np.float32(total[start]) + np.float32(scores[ids[piece]] if piece in ids else self.low)
-                        if now > value:
-                            best, value = piece, now
+                start = end - 1
+                best = word[start]
+                node = root.get(best)
+                if bpe:
+                    while node is not None and start:
+                        start -= 1
+                        node = node[0].get(word[start])
+                        if node is not None and node[1] is not None:
+                            if start:
+                                fits = node[2].get(last[start])
+                                if not (self._beside(last[start], node[1], node[2]) if fits is None else fits):
+                                    continue
+                            best = node[1]
+                            break
+                else:  # the sum in 32 bits, of equals the longest piece, as the library has it
+                    value = np.float32(total[start]) + np.float32(scores[ids[best]] if best in ids else self.low)
+                    while node is not None and start:
+                        start -= 1
+                        node = node[0].get(word[start])
+                        if node is not None and node[1] is not None:
+                            now = np.float32(total[start]) + np.float32(scores[ids[node[1]]])
+                            if now >= value:
+                                best, value = node[1], now
+                    total.append(value)
                 last.append(best)
-                total.append(value)
             out, end = [], len(word)
             while end:
                 out.append(last[end])
                 end -= len(last[end])
             before = word
-            yield word, out[::-1]
+            out.reverse()
+            yield word, out
 
     def to_ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -185,25 +222,45 @@ class PieceModel:
         if not text:
             return []
         marked = text.replace(" ", MARK)
-        return WORD.findall(MARK + marked if self.prefix else marked)
+        return self.word.findall(MARK + marked if self.prefix else marked)
+
+    def encode(self, texts: list[str], cache: dict[str, bytes]) -> list[list[int]]:
+        return [np.frombuffer(x, "<i4").tolist() for x in self.packed(texts, cache)]
 
-    def encode(self, texts: list[str], cache: dict[str, list[int]]) -> list[list[int]]:
-        """Ids of each text. cache: ids of words, filled for all words of these texts."""
+    def packed(self, texts: list[str], cache: dict[str, bytes]) -> list[bytes]:
+        """Ids of each text, as 32-bit numbers. cache: ids of words, filled for all words of these texts."""
         split = [self.words(t) for t in texts]
         new = sorted(set(chain.from_iterable(split)).difference(cache))
         for word, pieces in self.segment(new):
-            cache[word] = self.to_ids(pieces)
+            cache[word] = array("i", self.to_ids(pieces)).tobytes()
         get = cache.__getitem__
-        return [list(chain.from_iterable(map(get, ws))) for ws in split]
+        return [b"".join(map(get, ws)) for ws in split]
+
+    def surfaces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all pieces' texts, where each begins, and how long it is. Control pieces have no text."""
+        if self._surface is None:
+            texts = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
+            size = np.array([len(t) for t in texts], np.int64)
+            self._surface = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size
+        return self._surface
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of ids[offsets[i]:offsets[i + 1]]; bytes in a row are decoded together."""
+        buf, first, size = self.surfaces()
+        out = []
+        for a in range(0, len(offsets) - 1, 64):
+            at = offsets[a : a + 65]
+            own = ids[at[0] : at[-1]]
+            n = size[own]
+            end = np.concatenate([[0], np.cumsum(n)])
+            raw = buf[np.arange(end[-1]) + np.repeat(first[own] - end[:-1], n)].tobytes()
+            bounds = end[at - at[0]].tolist()
+            for b, c in zip(bounds, bounds[1:]):
+                out.append(raw[b + (self.prefix and raw[b : min(b + 1, c)] == b" ") : c].decode("utf-8", "replace"))
+        return out
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids; bytes in a row are decoded together, control pieces have no text."""
-        if not hasattr(self, "_surface"):
-            self._surface = [bytes([int(p[3:5], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds)]
-        raw = b"".join(map(self._surface.__getitem__, ids))
-        if self.prefix and raw[:1] == b" ":
-            raw = raw[1:]
-        return raw.decode("utf-8", "replace")
+        return self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
 def read_model(path: str) -> bytes:
@@ -214,33 +271,47 @@ def read_model(path: str) -> bytes:
     return data
 
 
-_LOADED: dict[str, tuple[PieceModel, dict[str, list[int]]]] = {}
+_LOADED: dict[str, PieceModel] = {}
 
 
-def loaded(data: bytes) -> tuple[PieceModel, dict[str, list[int]]]:
-    """The model, once in each worker, and its cache of words."""
+def loaded(data: bytes) -> PieceModel:
+    """The model, once in each worker."""
     key = hashlib.sha256(data).hexdigest()
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = PieceModel(data), {}
+        _LOADED[key] = PieceModel(data)
     return _LOADED[key]
 
 
+def slices(b: pa.RecordBatch, rows: int = 512, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Runs of at most ``rows`` rows and, if more than one, about ``size`` bytes of text in the second column."""
+    n = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(n)
+    at = 0
+    while at < b.num_rows:
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        stop = min(max(at + 1, stop), at + rows)
+        yield b.slice(at, stop - at)
+        at = stop
+
+
 def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids, and decoded, the text that the ids decode to, for each row of docs."""
     data = docs.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches):
-        pieces, cache = loaded(data.value)
+        pieces, cache, held = loaded(data.value), {}, 0
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                if len(cache) > CACHE:
-                    cache.clear()
-                ids = pieces.encode([t or "" for t in part.column(1).to_pylist()], cache)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([pieces.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+            for part in slices(b):
+                if held > CACHE:
+                    cache, held = {}, 0
+                before = len(cache)
+                ids = pieces.packed([t or "" for t in part.column(1).to_pylist()], cache)
+                held += sum(len(w) + len(i) for w, i in islice(cache.items(), before, None)) + ENTRY * (len(cache) - before)
+                flat = np.frombuffer(b"".join(ids), "<i4")
+                offsets = np.concatenate([[0], np.cumsum([len(x) >> 2 for x in ids])])
+                decoded = pieces.decode_all(flat, offsets)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 

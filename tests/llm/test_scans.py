@@ -286,3 +286,17 @@ def test_pipeline_stages(spark, sf, tmp_path):
     for i, r in by[5].items():
         t = by[4][i]["text"]
         assert list(r["ids"]) == lib.encode(t) and r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
+@pytest.mark.skipif(not os.path.exists(MODEL), reason="no model file")
+def test_encoding_of_repeats_ties_and_lone_characters(spark, monkeypatch):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(9)
+    rows = ["a\n\nb \n 12 345", "a\n\nb \n 12 345", "aaaaaaa" * 40, "▁x", " ", "\n", "\n" * 500, "x" * 100_000, *("".join(rng.choice("ab\n1é ▁ⅷ😀") for _ in range(50)) for _ in range(80))]
+    monkeypatch.setattr(sentence_pieces, "PAIRS", 5)  # forgets what it knows
+    monkeypatch.setattr(sentence_pieces, "CACHE", 10)
+    docs = documents(spark, [(i % 40, t) for i, t in enumerate(rows)]).withColumnRenamed("kept", "ids").withColumnRenamed("score", "decoded")
+    got = sorted((r["doc_id"], list(r["ids"]), r["decoded"]) for r in sentence_pieces.encode(docs).collect())
+    assert got == sorted((i % 40, lib.encode(t), t.replace("▁", " ")) for i, t in enumerate(rows))
