@@ -15,7 +15,8 @@ The counts are pre-aggregated to at most BUCKETS rows in each task. The weights,
 in by a scalar subquery, so the texts are never shuffled or joined for scoring. Labels are broadcast for the target's
 count where they have at most ``BROADCAST_ROWS`` rows, else joined by a shuffle of doc_id and n-gram buckets.
 
-Defined results: null languages are one language; a null text has no words; documents without words score 0 and fail the base rules. Null labels, and
+Defined results: null languages are one language; a null text has no words; documents without words score 0 and fail the
+base rules; rows that repeat count each. Other columns stay, whatever their names. Empty tables give empty results. Null labels, and
 labels of unknown documents, are ignored; without any trusted document all weights are 0, and the base rules decide.
 """
 
@@ -33,48 +34,70 @@ THRESHOLD = -0.1
 BROADCAST_ROWS = 1_000_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
+#: Repeated windows of a text that are looked up one by one.
+FEW = 64
+OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
-def neighbours(df: DataFrame, n: int) -> DataFrame:
-    """df with _near: for each word of _words, this and the n - 1 words after it, null beyond the last (fields _1 to _n)."""
-    names = [f"_{i + 1}" for i in range(n)]
-    shifted = {name: F.col("_words") if not i else F.slice("_words", F.lit(i + 1), F.greatest(F.size("_words") - i, F.lit(0))) for i, name in enumerate(names)}
-    return df.withColumns(shifted).withColumn("_near", F.arrays_zip(*names)).drop(*names)
+def shifted(a: Column, by: int, n: Column) -> Column:
+    """The n elements of a from the one at ``by`` on, by at least 0; none where n is negative."""
+    return F.slice(a, F.lit(by + 1), F.greatest(n, F.lit(0)))
 
 
 def bucket(*c: Column) -> Column:
     return F.pmod(F.xxhash64(*c), F.lit(BUCKETS)).cast("int")
 
 
-def n_repeat_words(hashes: Column) -> Column:
-    """Words in windows found twice or more, from the windows' hashes in order. Only texts with a repeat are sorted."""
-    s = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(hashes)
-    same = F.zip_with(F.slice(s, F.lit(1), n - 1), F.slice(s, F.lit(2), n - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    starts = F.flatten(F.filter(same, lambda x: x.isNotNull()))
-    covered = F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))
-    return F.when(F.size(F.array_distinct(hashes)) < n, F.size(F.array_distinct(covered))).otherwise(0)
+def window_hashes(hashes: Column, n: Column) -> Column:
+    """Hashes of the windows of three words, from the n words' hashes."""
+    two = F.zip_with(shifted(hashes, 0, n - 2), shifted(hashes, 1, n - 2), lambda a, b: F.xxhash64(a, b))
+    return F.zip_with(two, shifted(hashes, 2, n - 2), lambda a, b: F.xxhash64(a, b))
+
+
+def pairs_of(a: Column, f) -> Column:
+    """f of each two neighbours."""
+    return F.zip_with(shifted(a, 0, F.size(a) - 1), shifted(a, 1, F.size(a) - 1), f)
+
+
+def barrier() -> list[Column]:
+    """A column that is not deterministic: a condition that refers to it stays above the projection that makes it, so the
+    optimizer doesn't copy the projection's expressions into the condition, texts' splitting and all."""
+    return [F.monotonically_increasing_id().alias("_barrier")]
+
+
+def n_repeat_words(df: DataFrame, windows: str) -> DataFrame:
+    """df with n_repeat_words: words in windows found twice or more, from the windows' hashes in order. Where few windows
+    repeat, each is looked up among those; else the windows are sorted with their places."""
+    present = lambda a: F.filter(a, lambda x: x.isNotNull())
+    w = F.col(windows)
+    df = df.withColumn("_order", F.sort_array(w)).withColumn("_twice", F.array_distinct(present(pairs_of(F.col("_order"), lambda a, b: F.when(a == b, a)))))
+    looked_up = present(F.transform(w, lambda h, i: F.when(F.array_contains("_twice", h), i)))
+    s = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    sorted_out = F.sort_array(F.array_distinct(F.flatten(present(pairs_of(s, lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))))))
+    starts = F.when(F.size("_twice") == 0, F.array().cast("array<int>")).when(F.size("_twice") <= FEW, looked_up).otherwise(sorted_out)
+    df = df.withColumn("_starts", starts)
+    covered = F.aggregate(pairs_of(F.col("_starts"), lambda a, b: F.least(b - a, F.lit(3))), F.lit(3), lambda n, x: n + x)
+    df = df.withColumn("_covered", F.when(F.size("_starts") > 0, covered).otherwise(0).cast("long")).drop("_order", "_twice", "_starts")
+    return df.select("*", *barrier()).withColumn("n_repeat_words", F.when(F.col("_barrier") >= 0, F.col("_covered"))).drop("_covered", "_barrier")
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the words as _words and the counts n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = neighbours(docs.withColumn("_words", words(text)), 3)
     n = F.size("_words")
-    full = F.slice("_near", F.lit(1), F.greatest(n - 2, F.lit(0)))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.withColumns({"_hashes": F.transform(full, lambda x: F.xxhash64(x["_1"], x["_2"], x["_3"])), "_lines": lines})
+    df = docs.withColumn("_words", words(text)).withColumns({"_hashes": F.transform("_words", lambda x: F.xxhash64(x)), "_lines": lines})
+    df = n_repeat_words(df.withColumn("_windows", window_hashes(F.col("_hashes"), n)), "_windows")
     return df.withColumns({
         "n_words": n.cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": n_repeat_words(F.col("_hashes")).cast("long"),
-    }).drop("_hashes", "_lines", "_near")
+    }).drop("_hashes", "_lines", "_windows")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -85,10 +108,8 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def gram_counts(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (x, r, t): raw and target counts of each bucket, and their sums."""
-    near = neighbours(docs.select(F.col(id_col).alias("_id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("_words")), 2).select("_id", "_near")
-    marked = near.join(good, F.col("_id") == F.col("_good"), "left").select(F.col("_good").isNotNull().cast("long").alias("t"), F.explode("_near").alias("x"))
-    one, two = bucket(F.col("x._1")), bucket(F.col("x._1"), F.col("x._2"))
-    marked = marked.select("t", F.explode(F.when(F.col("x._2").isNull(), F.array(one)).otherwise(F.array(one, two))).alias("b"))
+    own = docs.select(F.col(id_col).alias("_id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"))
+    marked = own.join(good, F.col("_id") == F.col("_good"), "left").select(F.col("_good").isNotNull().cast("long").alias("t"), F.explode(grams()).alias("b"))
     counts = marked.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     full = every.join(counts, "b", "left").na.fill(0, ["raw", "target"])
@@ -102,9 +123,9 @@ def gram_weights(counts: DataFrame) -> DataFrame:
     return counts.select(F.when(F.col("t") > 0, F.transform("x", ratio)).otherwise(F.array_repeat(F.lit(0.0), BUCKETS)).alias("weights"))
 
 
-def grams(near: str = "_near") -> Column:
-    pair = lambda x: F.when(x["_2"].isNull(), F.array(bucket(x["_1"]))).otherwise(F.array(bucket(x["_1"]), bucket(x["_1"], x["_2"])))
-    return F.flatten(F.transform(near, pair))
+def grams(c: str = "_words") -> Column:
+    """Buckets of all unigrams, then of all bigrams."""
+    return F.concat(F.transform(c, lambda x: bucket(x)), pairs_of(F.col(c), lambda a, b: bucket(a, b)))
 
 
 def language(docs: DataFrame, lang_col: str) -> Column:
@@ -113,9 +134,10 @@ def language(docs: DataFrame, lang_col: str) -> Column:
 
 def held_out_scores(docs: DataFrame, good: DataFrame, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(_lang, s): the score of each trusted document of MIN_WORDS words or more, its own n-grams not in the target."""
-    own = docs.select(F.col(id_col).alias("_id"), language(docs, lang_col).alias("_lang"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"))
-    own = neighbours(own.join(good, F.col("_id") == F.col("_good"), "left_semi").where(F.size("_words") >= MIN_WORDS), 2)
-    own = own.select("_lang", (2 * F.size("_words") - 1).alias("_n"), F.concat(F.sort_array(grams()), F.array(F.lit(-1))).alias("_sorted"))
+    own = docs.select(F.col(id_col).alias("_id"), language(docs, lang_col).alias("_lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    own = own.join(good, F.col("_id") == F.col("_good"), "left_semi").select("_lang", words(F.col("_text")).alias("_words"))
+    own = own.select("_lang", F.size("_words").alias("_size"), F.concat(F.sort_array(grams()), F.array(F.lit(-1))).alias("_sorted"), *barrier()).where(f"_size >= {MIN_WORDS} and _barrier >= 0")
+    own = own.select("_lang", (2 * F.col("_size") - 1).alias("_n"), "_sorted")
     # the counts are referred to once, as are the weights below
     view = docs.sparkSession.sql("SELECT *, (SELECT x FROM {c}) AS _x, (SELECT r FROM {c}) AS _r, (SELECT t FROM {c}) AS _t FROM {d}", c=counts, d=own).where("_t > _n")
     share = (F.col("_t") - F.col("_n")) / F.col("_r")
@@ -134,21 +156,31 @@ def cuts(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with the base counts, base_failed, score and kept. Without a column lang_col, all documents are of one language."""
-    own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
-    base = base_counts(docs.drop(*[c for c in docs.columns if c in own]), text_col)
-    base = neighbours(base, 2).withColumn("_grams", grams())
+    """docs with the base counts, base_failed, score and kept. Columns of docs of these names are called input_ and the
+    name. Without a column lang_col, all documents are of one language."""
+    out = _judged(docs, labels, threshold, id_col, text_col, lang_col)
+    return out.select(*[F.col("_row")[c].alias(f"input_{c}" if c in OWN else c) for c in docs.columns], *OWN)
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that are kept, with the columns of docs."""
+    return _judged(docs, labels, threshold, id_col, text_col, lang_col).where("kept").select("_row.*")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(_row, *OWN); as all columns of docs are in _row, none clashes with others."""
+    base = base_counts(docs.select(F.struct("*").alias("_row"), language(docs, lang_col).alias("_of"), F.col(text_col).alias("_text")), "_text").drop("_text")
+    base = base.withColumn("_grams", grams()).drop("_words")
     good = trusted_ids(labels)
     counts = checkpointed(gram_counts(docs, good, id_col, text_col))
+    limit = F.broadcast(checkpointed(cuts(held_out_scores(docs, good, counts, id_col, text_col, lang_col), threshold)))
     # the weights are referred to once, so that they stay an expression and no row gets a copy of them
     view = docs.sparkSession.sql("SELECT *, (SELECT weights FROM {w}) AS _weights FROM {d}", w=gram_weights(counts), d=base)
     total = F.aggregate("_grams", F.lit(0.0), lambda acc, b: acc + F.col("_weights")[b])
-    out = view.withColumn("score", F.when(F.col("n_words") > 0, total / F.size("_grams")).otherwise(0.0))
+    out = view.withColumn("score", F.when(F.col("n_words") > 0, total / F.size("_grams")).otherwise(0.0)).drop("_weights", "_grams")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).withColumn("_of", language(docs, lang_col)).drop("_words", "_weights", "_near", "_grams")
-    limit = F.broadcast(cuts(held_out_scores(docs, good, counts, id_col, text_col, lang_col), threshold))
-    out = out.join(limit, F.col("_of") == F.col("_lang"), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= F.col("_cut"), F.lit(True))).drop("_of", "_lang", "_cut")
+    out = out.withColumn("base_failed", failed).join(limit, F.col("_of") == F.col("_lang"), "left")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("score") >= F.col("_cut"), F.lit(True))).select("_row", *OWN)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

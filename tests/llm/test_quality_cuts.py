@@ -46,3 +46,29 @@ def test_language_without_trusted_documents_stays(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
     out = quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels)
     assert out.where("lang = 'de' and kept <> (not base_failed)").count() == 0 and out.where("lang = 'de' and kept").count() > 30
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(i, "tree river stone " * 30 + str(i), "x", 7, 1.5, False, i) for i in range(4)] + [(1, None, None, None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _words string, n_words int, score double, kept boolean, _row long")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    out = quality_rules.quality(docs, labels)
+    names = [f"input_{c}" if c in quality_rules.OWN else c for c in docs.columns]
+    assert out.columns == [*names, *quality_rules.OWN]
+    assert sorted(map(repr, (tuple(r) for r in out.select(*names).collect()))) == sorted(map(repr, rows))
+    assert quality_rules.keep(docs, labels).schema == docs.schema
+    assert sorted(r["n_words"] for r in out.collect()) == [0, 0, 91, 91, 91, 91]
+
+
+def test_repeated_windows_of_both_kinds(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(str(rng.randrange(k)) for _ in range(n))) for k, n in [(2, 40), (4, 300), (9, 2000), (12, 1500), (40, 900), (1, 3), (1, 2), (1, 5), (300, 5000)]]
+    rows.append((7, " ".join(str(i % 500) for i in range(3000))))  # more repeats than are looked up one by one
+    got = {r["text"]: r["n_repeat_words"] for r in quality_rules.base_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for _, t in rows:
+        w = t.split()
+        wins = list(zip(w, w[1:], w[2:]))
+        seen = {}
+        for x in wins:
+            seen[x] = seen.get(x, 0) + 1
+        assert got[t] == len({k + j for k, x in enumerate(wins) if seen[x] > 1 for j in range(3)})
