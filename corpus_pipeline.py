@@ -24,8 +24,7 @@ def _measured(docs: DataFrame, before: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the n-gram likelihood ratio."""
-    judged = quality_rules.quality(docs.select("doc_id", F.struct("*").alias("_row"), "text", *[c for c in docs.columns if c == "lang"]), table(spark, sf_dir, "labels"))
-    return judged.where("kept").select("_row.*")
+    return quality_rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
