@@ -26,9 +26,8 @@ BLOCK_BYTES = 1 << 20
 BLOCK_SCHEMA = "block_id long, n_docs int, raw_len long, ids binary, lens binary, data binary, rest binary"
 KEY_SCHEMA = "bucket long, block_id long, blob binary"
 ANSWER_SCHEMA = "block_id long, blob binary"
-_MULT = 0x9E3779B97F4A7C15
-_INV = pow(_MULT, -1, 1 << 64)
-_POWERS: dict[str, np.ndarray] = {}
+#: Odd multipliers of the hashes, and how many values are folded one after the other.
+K1, K2, CHUNK = U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F), 64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -52,26 +51,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash's base, and of its inverse, modulo 2^64."""
-    if len(_POWERS.get("p", ())) < n:
-        size = max(1 << 20, 1 << int(n).bit_length())
-        for name, base in (("p", _MULT), ("q", _INV)):
-            a = np.full(size, base, dtype=U64)
-            a[0] = 1
-            _POWERS[name] = np.cumprod(a, dtype=U64)
-    return _POWERS["p"], _POWERS["q"]
-
-
-def byte_table(lower: bool, seed: int = 1) -> np.ndarray:
-    """A random 64-bit number for each byte; with lower, A-Z has those of a-z."""
-    t = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
-    if lower:
-        t[65:91] = t[97:123]
-    return t
-
-
-TABLE, TABLE_LOWER = byte_table(False), byte_table(True)
+#: Bytes with A-Z as a-z, and masks for the first bytes of a 64-bit word.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 #: True for bytes outside words. Both classes hold whole UTF-8 sequences: every byte from 0x80 is inside words.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -80,16 +63,63 @@ NON_ALNUM[48:58] = NON_ALNUM[65:91] = NON_ALNUM[97:123] = NON_ALNUM[128:] = Fals
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of values[start:end] for each span; equal spans have equal hashes wherever they stand."""
-    n = len(values)
-    p, q = powers(n + 1)
-    c = np.zeros(n + 1, dtype=U64)
-    np.cumsum(values * p[:n], out=c[1:])
-    h = c[ends]
-    h -= c[starts]
-    h *= q[starts]
-    h += (ends - starts).astype(U64)
-    return mix(h)
+    """64-bit hash of values[start:end] for each span, of bytes or of 64-bit numbers; equal spans have equal hashes wherever
+    they stand. Each step multiplies and shifts, so it isn't a polynomial, for which some strings always collide. Long spans
+    are folded in chunks, whose hashes are folded in turn."""
+    size = ends - starts
+    if values.dtype == np.uint8:
+        buf, step = np.concatenate([values, np.zeros(8, np.uint8)]), 8
+        words = np.ndarray((len(values) + 1,), dtype="<u8", buffer=buf, strides=(1,))
+    else:
+        words, step = values, 1
+    wide = CHUNK * step
+    n = np.maximum(1, -(-size // wide))
+    several = bool((n > 1).any())
+    at, left = starts, size
+    if several:
+        inner = (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * wide
+        at, left = np.repeat(starts, n) + inner, np.minimum(wide, np.repeat(size, n) - inner)
+    h = (left.astype(U64) + U64(1)) * K2
+    alive, k = np.flatnonzero(left > 0), 0
+    while len(alive):
+        x = words[at[alive] + k]
+        if step == 8:
+            x &= MASKS[np.minimum(left[alive] - k, 8)]
+        g = h[alive]
+        g ^= x
+        g *= K1
+        g ^= g >> U64(32)
+        h[alive] = g
+        k += step
+        alive = alive[left[alive] > k]
+    h = mix(h)
+    if several:
+        to = np.cumsum(n)
+        one = h[to - 1]
+        many = np.flatnonzero(n > 1)
+        one[many] = span_hashes(h, to[many] - n[many], to[many])
+        h = mix(one + size.astype(U64) * K1)
+        h[n == 1] = one[n == 1]
+    return h
+
+
+def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each size numbers in a row: of halves, of their halves, and so on."""
+
+    def join(a, b):
+        x = a * K1
+        x ^= x >> U64(31)
+        x += b
+        x *= K2
+        x ^= x >> U64(32)
+        return x
+
+    if len(h) < size:
+        return np.zeros(0, U64)
+    m, width = h, 1
+    while 2 * width <= size:
+        m, width = join(m[:-width], m[width:]), 2 * width
+    return mix(m if width == size else join(m[: len(h) - size + 1], m[size - width :]))
 
 
 def words_of(buf: np.ndarray, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +178,7 @@ class Block:
     def words(self, outside: np.ndarray = SPACE, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends, hashes and document indexes of all words."""
         s, e = words_of(self.buf, outside)
-        h = span_hashes((TABLE_LOWER if lower else TABLE)[self.buf], s, e)
+        h = span_hashes(LOWER[self.buf] if lower else self.buf, s, e)
         return s, e, h, np.searchsorted(self.off, s, side="right") - 1
 
     def out_ids(self) -> pa.Array:
@@ -160,7 +190,7 @@ def windows(h: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     if len(h) < size:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     at = np.flatnonzero(doc[: len(h) - size + 1] == doc[size - 1 :])
-    return at, span_hashes(h, at, at + size)
+    return at, run_hashes(h, size)[at]
 
 
 def cover(at: np.ndarray, size: np.ndarray | int, n: int) -> np.ndarray:
@@ -259,12 +289,11 @@ class Buckets:
         return keys >> U64(64 - self.bits) if self.bits < 64 else keys
 
     def split(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(bucket, from, to) of sorted keys that were cut."""
-        bounds = [-(-(i << self.bits) // self.n) for i in range(1, self.n)]
-        at = [0, *np.searchsorted(keys, np.array(bounds, dtype=U64)).tolist(), len(keys)]
-        for i in range(self.n):
-            if at[i + 1] > at[i]:
-                yield i, at[i], at[i + 1]
+        """(bucket, from, to) of sorted keys that were cut. Takes as long as there are keys, however many buckets."""
+        if len(keys):
+            b = np.minimum((keys.astype(np.float64) * (self.n / 2.0**self.bits)).astype(np.int64), self.n - 1)
+            cut = np.flatnonzero(b[1:] != b[:-1]) + 1
+            yield from zip(b[np.concatenate([[0], cut])].tolist(), [0, *cut.tolist()], [*cut.tolist(), len(keys)])
 
 
 def narrow(a: np.ndarray) -> bytes:

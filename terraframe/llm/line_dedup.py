@@ -2,9 +2,9 @@
 
 Each block of documents sends the hashes of its distinct lines to the shard that owns them. The shard streams them
 through two Bloom filters, of lines seen once and of lines seen again; no line list is kept or sorted. Only lines that
-the second filter holds, which are suspected repeats, are sent on with 128-bit keys and their number of documents, for
-exact confirmation and the choice of the first occurrence. A false positive of a filter costs one such row and never
-changes a result. Filters are sized for the shard's lines, and the number of shards follows the input.
+the second filter holds, which are suspected repeats, are sent on, with a second, cryptographic digest (128 bits in all) and
+their number of documents, for confirmation and the choice of the first occurrence. A false positive of a filter costs
+one such row and never changes a result. Filters are sized for the shard's lines, and the number of shards follows the input.
 
 A line's key is the line without white space at both ends, A-Z in lower case. Keys found in ``min_docs`` documents or
 more lose their lines: all of them with ``keep="none"``, all but the first line in the document with the smallest id with
@@ -17,6 +17,8 @@ documents.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,6 @@ U64 = np.uint64
 MIN_DOCS, MIN_CHARS = 10, 1
 #: Bits for each line, and hash functions: about one false positive in a hundred lines.
 BITS, HASHES = 10, 5
-TABLE2 = B.byte_table(True, seed=2)
 RESULT = "doc_id long, n_lines long, n_dropped long, kept string"
 
 
@@ -52,7 +53,7 @@ class Bloom:
 
 
 def lines_of(block: B.Block) -> tuple[np.ndarray, ...]:
-    """Of each line: start, end, document, 128-bit key as two hashes, and the key's code points. Texts end in a line
+    """Of each line: start, end, document, 64-bit hash of its key, the key's code points, start and end. Texts end in a line
     feed in a block, so its line feeds end the lines of all documents."""
     end = np.flatnonzero(block.buf == 10)
     start = np.concatenate([np.zeros(1, np.int64), end[:-1] + 1]) if len(end) else end
@@ -62,24 +63,28 @@ def lines_of(block: B.Block) -> tuple[np.ndarray, ...]:
     s, e = np.append(s, 0), np.append(e, 0)
     left, right = np.where(full, s[a], 0), np.where(full, e[b - 1], 0)
     points = np.concatenate([np.zeros(1, np.int64), np.cumsum((block.buf & 0xC0) != 0x80)])
-    return start, end, np.searchsorted(block.off, start, side="right") - 1, B.span_hashes(B.TABLE_LOWER[block.buf], left, right), B.span_hashes(TABLE2[block.buf], left, right), points[right] - points[left]
-
-
-def keys_of(block: B.Block, min_chars: int) -> tuple[np.ndarray, ...]:
-    """The block's distinct keys, sorted: both hashes, number of documents, and the place and id of the first line."""
-    _, _, doc, key, second, points = lines_of(block)
-    at = np.flatnonzero(points >= min_chars)
-    ids = block.ids[doc[at]].view(U64) ^ U64(1 << 63)
-    o = np.lexsort((at, ids, second[at], key[at]))
-    at, ids = at[o], ids[o]
-    key, second, doc = key[at], second[at], doc[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (key[1:] != key[:-1]) | (second[1:] != second[:-1])
+    return start, end, np.searchsorted(block.off, start, side="right") - 1, B.span_hashes(B.LOWER[block.buf], left, right), points[right] - points[left], left, right
+
+
+def digests(block: B.Block, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic digest of each key's bytes; with the other hash, what tells keys apart."""
+    raw = block.raw.lower()  # of bytes: A-Z only
+    got = b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(left.tolist(), right.tolist())])
+    return np.frombuffer(got, "<u8").astype(U64)
+
+
+def distinct(block: B.Block, at: np.ndarray, doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of lines ``at``, with their documents and key columns: the place in ``at`` of each distinct key's first line, by the
+    documents' ids, its number of documents and that least id; sorted by key."""
+    ids = block.ids[doc].view(U64) ^ U64(1 << 63)
+    o = np.lexsort((at, ids, *keys[::-1]))
+    new = np.ones(len(o), bool)
+    new[1:] = np.any([k[o][1:] != k[o][:-1] for k in keys], axis=0) if len(o) else False
     first = np.flatnonzero(new)
     other = new.copy()
-    other[1:] |= doc[1:] != doc[:-1]  # rows of one id stand by place, so a document's lines stand together
+    other[1:] |= doc[o][1:] != doc[o][:-1]  # rows of one id stand by place, so a document's lines stand together
     count = np.add.reduceat(other.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    return key[first], second[first], count, at[first], ids[first]
+    return o[first], count, ids[o[first]]
 
 
 def suspects(sent: DataFrame) -> DataFrame:
@@ -145,33 +150,38 @@ def _dedup(docs: DataFrame, min_docs: int, min_chars: int, keep: str, id_col: st
     buckets = B.Buckets(docs.sparkSession, B.raw_bytes(blocks) // 40, True)
 
     def send_hashes(block):
-        key, _, count, _, _ = keys_of(block, min_chars)
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        yield B.send(block.block_id, buckets, key[new], np.where(np.diff(np.append(np.flatnonzero(new), len(key))) > 1, 2, count[new]))
+        _, _, doc, key, points, _, _ = lines_of(block)
+        at = np.flatnonzero(points >= min_chars)
+        first, count, _ = distinct(block, at, doc[at], key[at])
+        yield B.send(block.block_id, buckets, key[at][first], np.minimum(count, 2))
 
     suspected = suspects(B.map_blocks(blocks, send_hashes, B.KEY_SCHEMA))
 
+    def suspect_lines(block, hashes):
+        """Lines with a hash among these, their documents, hashes and digests."""
+        _, _, doc, key, points, left, right = lines_of(block)
+        at = np.flatnonzero((points >= min_chars) & B.among(key, hashes)[0])
+        return at, doc[at], key[at], digests(block, left[at], right[at])
+
     def send_keys(block, answers):
-        key, second, count, _, ids = keys_of(block, min_chars)
-        hit = B.among(key, B.merged(answers)[0])[0]
-        return pa.Table.from_batches([B.send(block.block_id, buckets, key[hit], second[hit], count[hit], ids[hit])])
+        at, doc, key, second = suspect_lines(block, B.merged(answers)[0])
+        first, count, ids = distinct(block, at, doc, key, second)
+        return pa.Table.from_batches([B.send(block.block_id, buckets, key[first], second[first], count, ids)])
 
     repeated = confirmed(B.answer_blocks(blocks, suspected, send_keys, B.KEY_SCHEMA), min_docs)
 
     def drop(block, answers):
-        start, end, doc, key, second, points = lines_of(block)
+        start, end, doc = lines_of(block)[:3]
         gone = np.zeros(len(start), bool)
         if answers:
             k, s, lead = B.merged(answers)
-            pair = B.mix(k) + s
-            o = np.argsort(pair)
-            hit, at = B.among(B.mix(key) + second, pair[o])
-            gone = hit & (points >= min_chars)
+            known = {pair: bool(x) for *pair, x in zip(k.tolist(), s.tolist(), lead.tolist()) for pair in [tuple(pair)]}
+            at, docs_at, key, second = suspect_lines(block, k)
+            hit = [known.get(pair) for pair in zip(key.tolist(), second.tolist())]
+            gone[at] = [x is not None for x in hit]
             if keep == "first":
-                own_key, own_second, _, first, _ = keys_of(block, min_chars)
-                found, where = B.among(B.mix(own_key) + own_second, pair[o])
-                gone[first[found & (lead[o][where] == 1)]] = False
+                first, _, _ = distinct(block, at, docs_at, key, second)
+                gone[at[[i for i in first.tolist() if hit[i]]].astype(np.int64)] = False
         raw, kept, dropped, n = block.raw, [], [], []
         bounds = np.searchsorted(doc, np.arange(len(block.ids) + 1)).tolist()
         start, end = start.tolist(), end.tolist()

@@ -5,7 +5,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from terraframe.llm import jaccard_join, line_dedup, substring_dedup, suffix_dedup
+from terraframe.llm import _blocks as B
+from terraframe.llm import decontaminate, jaccard_join, line_dedup, substring_dedup, suffix_dedup
 from tests.llm.cases import documents, texts
 
 SPACE = "[^\x20\x09-\x0d]+"
@@ -69,17 +70,63 @@ def test_suffix_dedup(spark, monkeypatch, hot):
 
 
 def test_suffix_family():
-    rng, family, seen = np.random.default_rng(1), suffix_dedup.SuffixFamily(), set()
+    rng, seen = np.random.default_rng(1), set()
+    data = np.concatenate([rng.integers(97, 99, 3000), np.tile(rng.integers(97, 123, 60), 20), np.full(300, 97)]).astype(np.uint8)
+    family, at = suffix_dedup.SuffixFamily(data, 50), lambda p: data[p : p + 50].tobytes()
     for _ in range(40):
-        new = np.unique(rng.integers(0, 500, rng.integers(1, 30))).astype("S50")
-        new.sort()
-        assert (family.scan(new) == [x in seen for x in new.tolist()]).all()
-        family.insert(new[[x not in seen for x in new.tolist()]])
-        seen |= set(new.tolist())
-    sizes = [len(x) for x in family.levels]
+        pos = rng.integers(0, len(data) - 49, rng.integers(1, 90))
+        sa, new = family.array(pos)
+        assert [at(p) for p in pos[sa]] == sorted(at(p) for p in pos)
+        distinct = pos[sa[new]]
+        assert len(distinct) == len({at(p) for p in pos})
+        level = distinct, suffix_dedup.words_at(data)[distinct].astype(np.uint64)
+        found = family.scan(level)
+        assert found.tolist() == [at(p) in seen for p in distinct]
+        family.insert((level[0][~found], level[1][~found]))
+        seen |= {at(p) for p in distinct}
+        for p, _ in family.levels:
+            assert [at(x) for x in p] == sorted({at(x) for x in p})
+    sizes = [len(x[0]) for x in family.levels]
     assert sum(sizes) == len(seen) and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
 
 
+def thue_morse(n, a, b):
+    """Two different strings of 2**n characters that collide under every polynomial modulo 2**64, from n = 10 on."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("n", [3, 6, 9, 10, 11, 12])
+def test_hashes_tell_thue_morse_strings_apart(n):
+    x, y = thue_morse(n, "a", "b")
+    block = B.Block.of([1, 2, 3], [x.encode(), y.encode(), x.encode()])
+    h = block.words()[2]
+    assert h[0] == h[2] != h[1]
+    numbers = np.array([ord(c) for c in x + y + x], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    size = len(x)
+    spans = B.span_hashes(numbers, np.arange(3) * size, np.arange(3) * size + size)
+    assert spans[0] == spans[2] != spans[1]
+    runs = B.run_hashes(numbers, size)
+    assert runs[0] == runs[2 * size] != runs[size]
+
+
+def test_dedup_of_thue_morse_strings(spark):
+    x, y = thue_morse(10, "a", "b")
+    data = [(i, x) for i in range(9)] + [(10 + i, y) for i in range(9)] + [(30, "plain")]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(documents(spark, data)).collect()}
+    assert not any(got.values()) and len(got) == 19
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(documents(spark, data)).collect()}
+    assert got == {**{i: 0 for i in range(9)}, **{10 + i: 10 for i in range(9)}, 30: 30}
+    words = lambda t: " ".join(["same"] * 12 + [t])
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(documents(spark, [(1, words(x)), (2, words(y)), (3, words(x))])).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+    items = spark.createDataFrame([("i", x)], "item_id string, text string")
+    got = {r["doc_id"]: r["n_hit"] for r in decontaminate.scan(documents(spark, [(1, x), (2, y)]), items).collect()}
+    assert got == {1: 1, 2: 0}
+
+
 def strip(line):
     return line.encode().strip(b" \t\n\x0b\x0c\r").lower()
 
