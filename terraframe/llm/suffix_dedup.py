@@ -8,8 +8,9 @@ one piece of text, about four bytes a string. Routes of one document only are dr
 routes alone. Routes that very many documents hold are split once more, by where in the string the least hash stands.
 
 Each shard keeps an index family (``SuffixFamily``): its pieces come in the order of document ids, in batches; a batch
-gets its suffix array (starts sorted by the ``length`` bytes that follow), is merge-scanned against the existing levels
-for strings that they have, and enters as a new level; levels of equal size merge geometrically. So a string is found
+gets its suffix array (places in the shard's text, sorted by the ``length`` bytes that follow, eight at a time), is
+merge-scanned against the existing levels for strings that they have, and enters as a new level; levels of equal size
+merge geometrically. Levels hold places, not strings. So a string is found
 repeated exactly if a smaller document has it. A shard's size is bounded by the number of shards, which follows the
 input.
 
@@ -35,8 +36,8 @@ GRAM = 20
 HOT = 1000
 #: Strings in a batch, and batches of a shard at most (a larger shard has larger batches).
 BATCH, BATCHES = 1 << 15, 8
-#: Strings of a shard, about: a shard in work takes some 500 bytes for each.
-SHARD = 400_000
+#: Strings of a shard, about: a shard in work takes some 120 bytes for each.
+SHARD = 1_600_000
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 U64 = np.uint64
 
@@ -90,40 +91,77 @@ def runs(block: B.Block, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return start, stop - start, route[start], np.searchsorted(block.off, start, side="right") - 1
 
 
-def strings(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """The length bytes from each place, as fixed-width strings, which sort as bytes do."""
-    view = np.lib.stride_tricks.sliding_window_view(data, length)
-    return np.ascontiguousarray(view[at]).view(f"S{length}").ravel()
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number; of numbers, the order is that of the bytes."""
+    return np.ndarray((max(0, len(data) - 7),), dtype=">u8", buffer=data, strides=(1,))
+
+
+def refine(data: np.ndarray, pos: np.ndarray, key: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of places that are sorted by their first eight bytes (key) by all ``length`` bytes, ties as they stand; and
+    whether each, in that order, differs from the one before. Only groups in which bytes differ are sorted again."""
+    words, order = words_at(data), np.arange(len(pos))
+    new = np.ones(len(pos), bool)
+    new[1:] = key[1:] != key[:-1]
+    for off in [*range(8, length - 8, 8), length - 8]:
+        tied = ~new
+        tied[:-1] |= ~new[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        k = words[pos[order[at]] + off].astype(U64)
+        group = np.cumsum(new[at])
+        differs = np.zeros(len(at), bool)
+        differs[1:] = (k[1:] != k[:-1]) & (group[1:] == group[:-1])
+        if not differs.any():
+            continue
+        mixed = np.zeros(int(group[-1]) + 1, bool)
+        mixed[group[differs]] = True
+        part = np.flatnonzero(mixed[group])
+        o = part[np.lexsort((k[part], group[part]))]
+        order[at[part]] = order[at[o]]
+        k[part] = k[o]  # groups stay where they stand
+        new[at[1:]] |= (k[1:] != k[:-1]) & (group[1:] == group[:-1])
+    return order, new
 
 
 class SuffixFamily:
-    """Sorted arrays of distinct strings, in levels of geometrically growing size."""
-
-    def __init__(self) -> None:
-        self.levels: list[np.ndarray] = []
-
-    @staticmethod
-    def merge(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Both sorted arrays in one, without duplicates, and whether each of b is in a as well."""
-        both = np.concatenate([a, b])
-        order = np.argsort(both, kind="stable")  # two sorted runs: a linear merge
-        both = both[order]
-        again = np.concatenate([[False], both[1:] == both[:-1]])
-        found = np.zeros(len(b), bool)
-        found[order[again] - len(a)] = True
-        return both[~again], found
-
-    def scan(self, suffixes: np.ndarray) -> np.ndarray:
-        """Whether each of the sorted distinct suffixes is in some level."""
-        found = np.zeros(len(suffixes), bool)
-        for level in self.levels:
-            found |= self.merge(level, suffixes)[1]
+    """Suffix arrays of distinct strings of a text, as places and their first eight bytes, in levels of geometrically growing
+    size."""
+
+    def __init__(self, data: np.ndarray, length: int) -> None:
+        self.data, self.length = data, length
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def array(self, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffix array of places, ties as they stand, and which of its entries differ from the ones before."""
+        key = words_at(self.data)[pos].astype(U64)
+        sa = np.argsort(key, kind="stable")
+        order, new = refine(self.data, pos[sa], key[sa], self.length)
+        return sa[order], new
+
+    def merge(self, a: tuple, b: tuple) -> tuple[tuple, np.ndarray]:
+        """Both levels in one, without duplicates, and whether each string of b is in a as well."""
+        key = np.concatenate([a[1], b[1]])
+        run = np.argsort(key, kind="stable")  # two sorted runs: a linear merge
+        pos = np.concatenate([a[0], b[0]])[run]
+        order, new = refine(self.data, pos, key[run], self.length)
+        found = np.zeros(len(b[0]), bool)
+        again = run[order[~new]]
+        found[again - len(a[0])] = True
+        stay = order[new]
+        return (pos[stay], key[run][stay]), found
+
+    def scan(self, level: tuple) -> np.ndarray:
+        """Whether each string of the level is in some level of the family."""
+        found = np.zeros(len(level[0]), bool)
+        for own in self.levels:
+            found |= self.merge(own, level)[1]
         return found
 
-    def insert(self, suffixes: np.ndarray) -> None:
-        while self.levels and len(self.levels[-1]) <= 2 * len(suffixes):
-            suffixes = self.merge(self.levels.pop(), suffixes)[0]
-        self.levels.append(suffixes)
+    def insert(self, level: tuple) -> None:
+        while self.levels and len(self.levels[-1][0]) <= 2 * len(level[0]):
+            level = self.merge(self.levels.pop(), level)[0]
+        self.levels.append(level)
 
 
 def batches_of(order: np.ndarray, doc: np.ndarray, count: np.ndarray) -> Iterator[np.ndarray]:
@@ -147,18 +185,19 @@ def expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def scan_shard(data: np.ndarray, first: np.ndarray, count: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """For each string of the pieces, in their order, whether a smaller document has it."""
-    family, flags = SuffixFamily(), np.zeros(int(count.sum()), bool)
+    family, flags = SuffixFamily(data, length), np.zeros(int(count.sum()), bool)
     at_flag = np.cumsum(count) - count
     order = np.argsort(doc, kind="stable")
+    words = words_at(data)
     for piece in batches_of(order, doc, count):
-        own = strings(data, expand(first[piece], count[piece]), length)
-        sa = np.argsort(own, kind="stable")  # ties stay in the order of documents
-        own, ids = own[sa], np.repeat(doc[piece], count[piece])[sa]
-        new = np.concatenate([[True], own[1:] != own[:-1]])
+        pos = expand(first[piece], count[piece])
+        sa, new = family.array(pos)  # ties stay in the order of documents
+        ids = np.repeat(doc[piece], count[piece])[sa]
         group = np.cumsum(new) - 1
-        seen = family.scan(own[new])
+        level = pos[sa[new]], words[pos[sa[new]]].astype(U64)
+        seen = family.scan(level)
         flags[expand(at_flag[piece], count[piece])[sa]] = seen[group] | (ids > ids[new][group])
-        family.insert(own[new][~seen])
+        family.insert((level[0][~seen], level[1][~seen]))
     return flags
 
 
@@ -222,7 +261,7 @@ def pieces(block: B.Block, answers: list[bytes], buckets: B.Buckets, length: int
         doc = np.concatenate([doc[~hot], np.repeat(doc[hot], n)])
         route = np.concatenate([route[~hot], B.mix(value + (offset + 1).astype(U64) * U64(0x9E3779B97F4A7C15))])
     ids = _order(block)[doc]
-    key = B.span_hashes(B.TABLE[block.buf], start, start + count + length - 1)
+    key = B.span_hashes(block.buf, start, start + count + length - 1)
     o = np.lexsort((start, ids, key))
     first = np.concatenate([[True], key[o][1:] != key[o][:-1]]) if len(o) else np.zeros(0, bool)
     later = np.zeros(len(o), bool)
