@@ -37,7 +37,7 @@ HOT = 1000
 #: Strings in a batch, and batches of a shard at most (a larger shard has larger batches).
 BATCH, BATCHES = 1 << 15, 8
 #: Strings of a shard, about: a shard in work takes some 120 bytes for each.
-SHARD = 1_600_000
+SHARD = 1_000_000
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 U64 = np.uint64
 
@@ -72,23 +72,24 @@ def runs(block: B.Block, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
     none = np.zeros(0, np.int64)
     if len(block.buf) < length:
         return none, none, none.astype(U64), none
-    route = sliding_least(gram_hashes(block.buf, gram), length - gram + 1)
+    least = sliding_least(gram_hashes(block.buf, gram), length - gram + 1)
     doc = np.flatnonzero(block.lens >= length)
     if not len(doc):
         return none, none, none.astype(U64), none
     begin, end = block.off[doc], block.off[doc] + block.lens[doc] - length + 1
-    inside = np.zeros(len(route) + 1, np.int8)
+    inside = np.zeros(len(least) + 1, np.int8)
     inside[begin] = 1
     inside[end] -= 1
     inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
-    cut = np.empty(len(route), bool)
+    cut = np.empty(len(least), bool)
     cut[0] = True
-    np.not_equal(route[1:], route[:-1], out=cut[1:])
+    np.not_equal(least[1:], least[:-1], out=cut[1:])
     cut[begin] = True
     start = np.flatnonzero(cut & inside)
     stops = np.flatnonzero(np.concatenate([cut | ~inside, [True]]))
     stop = stops[np.searchsorted(stops, start, side="right")]
-    return start, stop - start, route[start], np.searchsorted(block.off, start, side="right") - 1
+    # least hashes crowd at the low end; buckets are ranges, so routes are spread again
+    return start, stop - start, B.mix(least[start]), np.searchsorted(block.off, start, side="right") - 1
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -253,7 +254,7 @@ def pieces(block: B.Block, answers: list[bytes], buckets: B.Buckets, length: int
         offset = np.zeros(len(single), np.int64)
         value, left = np.repeat(route[hot], n), np.ones(len(single), bool)
         for o in range(length - gram + 1):
-            here = left & (grams[single + o] == value)
+            here = left & (B.mix(grams[single + o]) == value)
             offset[here] = o
             left &= ~here
         start = np.concatenate([start[~hot], single])
