@@ -36,8 +36,10 @@ GRAM = 20
 HOT = 1000
 #: Strings in a batch, and batches of a shard at most (a larger shard has larger batches).
 BATCH, BATCHES = 1 << 15, 8
+#: Text of a block: the larger, the fewer rows go to the shards.
+BLOCK_BYTES = 2 << 20
 #: Strings of a shard, about: a shard in work takes some 120 bytes for each.
-SHARD = 1_000_000
+SHARD = 2_000_000
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 U64 = np.uint64
 
@@ -279,7 +281,7 @@ def _order(block: B.Block) -> np.ndarray:
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes that stay, for each row of docs."""
-    blocks = B.text_blocks(docs, id_col, text_col)
+    blocks = B.text_blocks(docs, id_col, text_col, block_bytes=BLOCK_BYTES)
     raw = B.raw_bytes(blocks)
     spark = docs.sparkSession
     near = B.Buckets(spark, raw // 16, False)
