@@ -13,8 +13,6 @@ Equal texts get equal results.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +23,6 @@ from terraframe.llm._session import table
 HIDDEN, STRETCH, LANES = 8, 128, 4096
 SAMPLE_DOCS, SAMPLE_CHARS = 256, 2048
 STEPS, BATCH, LENGTH, RATE = 300, 96, 48, 0.02
-LETTER = re.compile(r"[^\W\d_]")
 FOLDS, HELD_OUT = 3, 1
 SCHEMA = "doc_id long, lang_pred string, score double"
 
@@ -187,7 +184,7 @@ def predict(docs: DataFrame, net: ByteGru | None, id_col: str = "doc_id", text_c
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = part.column(1).to_pylist()
-                use = [i for i, t in enumerate(texts) if net is not None and t and LETTER.search(t)]
+                use = [i for i, t in enumerate(texts) if net is not None and t and any(map(str.isalpha, t))]
                 lang, score = ["und"] * len(texts), [0.0] * len(texts)
                 if use:
                     p = net.label([texts[i].encode() for i in use])
