@@ -9,8 +9,8 @@ The automaton is built on the driver and broadcast, ``MAX_WORDS`` item words at
 their ids' hash over several automata, each of which takes its own pass over the documents; the passes' hits are united
 per document. So what is broadcast doesn't grow with the items.
 
-Defined results: null and empty texts have no words; items without words, or with a null id, count for nothing; repeated
-items count once. A null doc_id stays null. Empty tables give empty results or no hits.
+Defined results: null and empty texts have no words; items without words count for nothing; items with
+a null id hit words and count as one item without a name; repeated items count once. A null doc_id stays null. Empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ RESULT = "doc_id long, n_words long, n_hit long, items array<string>, hits binar
 class SuffixAutomaton:
     """Generalised suffix automaton of word-id sequences, with the items of each state."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[int]]], window: int):
         self.window = window
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -145,13 +145,18 @@ def find(block: B.Block, vocabulary: np.ndarray, automaton: SuffixAutomaton, lea
     return s, e, doc, B.cover(np.array(at, np.int64), np.array(size, np.int64), len(h)), names
 
 
+def by_name(name: str | None) -> tuple:
+    """Sorts names, a null one last."""
+    return name is None, name or ""
+
+
 def automata(items: DataFrame, id_col: str, text_col: str, window: int, max_words: int) -> Iterator[tuple]:
-    own = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     chars = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-chars // (max_words * CHARS_PER_WORD)))
     for i in range(n):
         part = own if n == 1 else own.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i)
-        yield build(sorted({(r["id"], r["text"]) for r in part.collect()}), window)
+        yield build(sorted({(r["id"], r["text"]) for r in part.collect()}, key=lambda x: (by_name(x[0]), x[1])), window)
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
@@ -170,7 +175,7 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str =
             bounds = np.searchsorted(doc, np.arange(len(block.ids) + 1))
             n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[bounds])
             bits = [np.packbits(hit[a:b]).tobytes() if n else b"" for a, b, n in zip(bounds[:-1], bounds[1:], n_hit)]
-            yield pa.RecordBatch.from_arrays([block.out_ids(), pa.array(np.diff(bounds), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(bits, pa.binary())], names=["doc_id", "n_words", "n_hit", "items", "hits"])
+            yield pa.RecordBatch.from_arrays([block.out_ids(), pa.array(np.diff(bounds), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x, key=by_name) for x in names], pa.list_(pa.string())), pa.array(bits, pa.binary())], names=["doc_id", "n_words", "n_hit", "items", "hits"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, RESULT)
 
