@@ -36,17 +36,22 @@ SCHEMA_STATS = "node long, content long, page long, host string, main boolean"
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z))""", re.S)
 CLASS = re.compile(r"""(?:^|[\s"'])(class|id|role|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: Elements whose contents aren't text of the page; unclosed, the first ones run to the end of the page, others are ignored.
+TO_END = {"script", "style", "textarea", "title", "xmp", "noframes", "iframe"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "select", "xmp", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-CHROME_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "label", "search", "head", "fieldset", "header"}
+CHROME_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "search", "head", "header"}
 #: Words of a class, id or role that mark what isn't the article.
-CHROME = re.compile(r"^(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|banners?|breadcrumbs?|comments?|commentlist|disqus|discussion|cookies?|consent|gdpr|footers?|header|masthead|menus?|nav|navbar|navigation|navigationbar|newsletter|notices?|notification|alert|popup|modal|overlay|paywall|pager|pagination|promos?|promoted|related|recommended|recommendations|replies|reply|respond|search|searchbox|share|sharing|social|sidebars?|sponsor|sponsored|subscribe|subscription|signup|login|toolbar|topbar|widgets?|skip|contentinfo|complementary|dialog|taboola|outbrain|teaser)$")
+CHROME = re.compile(r"^(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|banners?|breadcrumbs?|comments?|commentlist|disqus|cookies?|consent|gdpr|footers?|header|masthead|menus?|nav|navbar|navigation|navigationbar|newsletter|notices?|notification|alert|popup|modal|overlay|paywall|pager|pagination|promos?|promoted|related|recommended|recommendations|replies|reply|respond|search|searchbox|share|sharing|social|sidebars?|sponsor|sponsored|subscribe|subscription|signup|login|toolbar|topbar|widgets?|skip|contentinfo|complementary|dialog|taboola|outbrain|teaser)$")
+#: Words that tell nothing of what an element holds. A name marks chrome if it has a word of CHROME and else only these.
+NEUTRAL = re.compile(r"^(?:[0-9]*|[a-z]|area|articles?|bars?|block|body|bottom|box|bulletin|button|buttons|card|cell|center|col|column|container|content|field|fixed|float|form|global|grid|group|header|holder|icons?|inner|input|items?|js|layout|left|links?|lists?|local|main|medium|mobile|module|nav|outer|page|pages|panel|policy|posts?|primary|right|row|secondary|section|sections|shell|side|site|slot|small|sticky|stories|strip|sub|tab|tertiary|text|thread|title|tools|top|unit|user|wide|wrap|wrapper|zone)$")
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: An opening tag closes open ones of these, up to a boundary.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "option": ({"option"}, {"select"})}
 IN_P = BLOCK - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "li", "dd", "dt"}
+ROOTS = {"article", "main", "body", "html"}
 P_SCOPE = {"td", "th", "table", "body", "html", "button", "caption"}
 
 _NODES: dict[tuple[int, str, str], tuple[int, bool]] = {}
@@ -62,8 +67,8 @@ def _is_chrome(tag: str, marks: str, in_main: bool) -> bool:
         return False
     got = _CHROME.get(marks)
     if got is None:
-        words = SPLIT.split(CAMEL.sub("-", marks).lower())
-        got = _CHROME[marks] = any(CHROME.match(w) for w in words) or "aria-hidden=true" in marks
+        names = [SPLIT.split(CAMEL.sub("-", name).lower()) for name in marks.split()]
+        got = _CHROME[marks] = any(any(map(CHROME.match, w)) and all(CHROME.match(x) or NEUTRAL.match(x) for x in w) for w in names) or "aria-hidden=true" in marks
         if len(_CHROME) > 100_000:
             _CHROME.clear()
     return got and tag not in ("body", "html")
@@ -102,14 +107,20 @@ def pieces(page: str) -> list[Piece]:
         if text:
             t = " ".join(html.unescape("".join(text)).split())
             if t:
-                out.append((t, stack[-1][1] if stack[-1][0] in BLOCK else next((s[1] for s in reversed(stack) if s[0] in BLOCK), 0), stack[-1][3]))
+                out.append((t, stack[-1][1] if stack[-1][0] in BLOCK else stack[last(BLOCK)][1], stack[-1][3]))
             text.clear()
 
+    #: where each tag's open elements stand in the stack
+    places: dict[str, list[int]] = {}
+    last = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(to: int):
         for s in stack[to:]:
             if s[0] in BLOCK:
                 flush()
                 break
+        for s in stack[to:]:
+            places[s[0]].pop()
         del stack[to:]
 
     at, n = 0, len(page)
@@ -126,18 +137,15 @@ def pieces(page: str) -> list[Piece]:
             continue
         tag = tag.lower()
         if m[1] or m[4]:  # an end tag
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if stack[i][0] in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                    break
+            i = last((tag,))
+            if i and (tag in ROOTS or last(("article", "main", "body")) <= i):
+                close(i)
             continue
         attributes = m[3] if m[2] else m[6]
         if tag in RAW:
             stop = re.compile(f"</{tag}\\b[^>]*>?", re.I).search(page, at)
             if not attributes.endswith("/"):
-                at = stop.end() if stop else n
+                at = stop.end() if stop else n if tag in TO_END else at
             continue
         if tag == "br":
             text.append(" ")
@@ -146,21 +154,12 @@ def pieces(page: str) -> list[Piece]:
             if tag == "hr":
                 flush()
             continue
-        if tag in IN_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in P_SCOPE:
-                    break
+        if tag in IN_P and places.get("p") and (i := places["p"][-1]) > last(P_SCOPE):
+            close(i)
         if tag in IMPLIED:
             ends, scope = IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in scope:
-                    break
-                if stack[i][0] in ends:
-                    close(i)
-                    break
+            if (i := last(ends)) > last(scope):
+                close(i)
         if tag == "body":
             close(1)
         if tag in BLOCK:
@@ -173,6 +172,7 @@ def pieces(page: str) -> list[Piece]:
                 chrome = False  # what was left open before it doesn't swallow the article
             in_main = in_main or not chrome and not own
         in_comments = in_comments or own and "comment" in marks.lower()
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, _node(parent, tag, marks), chrome or own, in_main, in_comments))
     flush()
     return out
