@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraframe.functions import geo, text
 from terraframe.functions import tags as T
-from terraframe.functions import text
 from terraframe.model import Dataset, checkpointed
 from terraframe.operators import joins, spatial
 
@@ -83,14 +83,16 @@ def node_replacements(ds: Dataset, meters: float = 1.0) -> DataFrame:
 
 
 def resolve(step: DataFrame) -> DataFrame:
-    """(id, keep) with keep followed to the end of its chain, by pointer doubling: a chain of n needs log2(n) joins."""
+    """(id, keep) with keep followed to the end of its chain, by pointer doubling: a chain of n needs log2(n) joins. A cycle,
+    which has no end, raises."""
     now = checkpointed(step)
-    while True:
+    for _ in range(now.count().bit_length() + 1):
         after = now.join(now.select(F.col("id").alias("keep"), F.col("keep").alias("further")), "keep", "left").select("id", F.coalesce("further", "keep").alias("keep"), F.col("further").isNotNull().alias("moved"))
         after = checkpointed(after)
         if not after.where("moved").limit(1).count():
             return after.select("id", "keep")
         now = after.select("id", "keep")
+    raise ValueError("replacements lead in a circle")
 
 
 def replace_refs(ways: DataFrame, replacements: DataFrame) -> DataFrame:
@@ -134,7 +136,8 @@ def new_ids(rows: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame
     spark = rows.sparkSession
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id())
-    ordered = ordered.persist()
+    # a range partitioning is sampled: computed again after a loss, it could number otherwise
+    ordered = checkpointed(ordered)
     sizes = sorted((r["p"], r["n"], r["lo"]) for r in ordered.groupBy("p").agg(F.count("*").alias("n"), F.min("i").alias("lo")).collect())
     offsets, at = [], top + 1
     for p, n, lo in sizes:
@@ -144,10 +147,45 @@ def new_ids(rows: DataFrame, existing: DataFrame, order: list[str]) -> DataFrame
     return ordered.join(F.broadcast(off), "p").withColumn("id", F.col("i") + F.col("off")).drop("p", "i", "off")
 
 
-def merge(base: Dataset, patch: Dataset, meters: float = 1.0, dedup: bool = True) -> Dataset:
-    """patch laid over base, and then without duplicates."""
+def merge(base: Dataset, patch: Dataset, meters: float = 1.0, dedup: bool = True, intersections: bool = True) -> Dataset:
+    """patch laid over base, then without duplicates, and with a shared node where ways that should connect cross."""
     merged = apply_changes(base, patch, direct_changes(base, patch))
-    return deduplicate(merged, meters) if dedup else merged
+    if dedup:
+        merged = deduplicate(merged, meters)
+    return create_intersections(merged, meters=meters) if intersections else merged
+
+
+def create_intersections(ds: Dataset, cell_e7: int = 100_000, meters: float = 1.0) -> Dataset:
+    """ds with a node in both ways wherever two that should connect cross or touch. An end of one of the two segments is that
+    node if it lies within a distance of the point, the nearest one, else the one with the smallest id; otherwise a new node
+    tagged crossing=yes, one for each point."""
+    cross = checkpointed(crossings(ds, cell_e7))
+    if not cross.limit(1).count():
+        return ds
+    key = ["a", "b", "pos_a", "pos_b", "x", "y"]
+    ends = joins.segments(ds)
+    ends = ends.select("way_id", "pos", F.explode(F.array(F.struct(F.col("a").alias("ref"), F.col("ax").alias("ex"), F.col("ay").alias("ey")), F.struct(F.col("b").alias("ref"), F.col("bx").alias("ex"), F.col("by").alias("ey")))).alias("e")).select("way_id", "pos", "e.*")
+    side = lambda way, pos: cross.join(ends.withColumnsRenamed({"way_id": way, "pos": pos}), [way, pos])
+    both = side("a", "pos_a").unionByName(side("b", "pos_b")).withColumn("m", geo.haversine_m(*(F.col(c) / 1e7 for c in ("x", "y", "ex", "ey"))))
+    found = both.where(F.col("m") <= meters).groupBy(key).agg(F.min(F.struct("m", "ref"))["ref"].alias("node"))
+    cross = checkpointed(cross.join(found, key, "left"))
+    fresh = new_ids(cross.where("node is null").select("x", "y").distinct(), ds.nodes, ["x", "y"]).withColumnRenamed("id", "made")
+    fresh = checkpointed(fresh)
+    at = cross.join(fresh, ["x", "y"], "left").withColumn("node", F.coalesce("node", "made"))
+    inserts = at.select(F.col("a").alias("id"), F.col("pos_a").alias("pos"), "x", "y", "node").unionByName(at.select(F.col("b").alias("id"), F.col("pos_b").alias("pos"), "x", "y", "node"))
+    nodes = ds.nodes.unionByName(fresh.select(F.col("made").alias("id"), F.col("x").cast("int").alias("lon_e7"), F.col("y").cast("int").alias("lat_e7"), F.create_map(F.lit("crossing"), F.lit("yes")).alias("tags")))
+    return Dataset(nodes, splice(ds, inserts), ds.relations, ds.name, ds.header)
+
+
+def splice(ds: Dataset, inserts: DataFrame) -> DataFrame:
+    """The ways of ds with nodes (id, pos, x, y, node) put in behind the reference at pos, in the order in which they lie on
+    the segment; without repeats in a row."""
+    start = joins.way_points(ds, ds.ways.join(inserts.select("id").distinct(), "id", "left_semi")).select(F.col("way_id").alias("id"), "pos", F.col("lon_e7").alias("sx"), F.col("lat_e7").alias("sy"))
+    far = lambda p, q: (F.col(p).cast("double") - F.col(q)) ** 2
+    new = inserts.join(start, ["id", "pos"]).select("id", "pos", (far("x", "sx") + far("y", "sy")).alias("d"), F.col("node").alias("ref"), F.lit(1).alias("o"))
+    old = ds.ways.join(inserts.select("id").distinct(), "id", "left_semi").select("id", F.posexplode("refs").alias("pos", "ref")).select("id", "pos", F.lit(0.0).alias("d"), "ref", F.lit(0).alias("o"))
+    refs = old.unionByName(new).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "o", "d", "ref"))).alias("x"))
+    return ds.ways.join(refs, "id", "left").select("id", T.without_repeats(F.coalesce(F.transform("x", lambda x: x["ref"]), F.col("refs"))).alias("refs"), "tags")
 
 
 def osc_rows(base: Dataset, patch: Dataset, changes: DataFrame) -> DataFrame:

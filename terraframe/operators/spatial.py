@@ -91,8 +91,8 @@ def box_pairs(boxes: DataFrame, key: str, cell_e7: int) -> DataFrame:
 
 
 def segment_crossings(ds: Dataset, ways: DataFrame, cell_e7: int, connectable: Column | None = None) -> DataFrame:
-    """(a, b, pos_a, pos_b, x, y): points where segments of different ways cross, by exact whole-number orientation of
-    their ends; parallel and merely touching segments don't count. connectable: a condition over tags a_tags and b_tags."""
+    """(a, b, pos_a, pos_b, x, y): points where segments of different ways cross or touch, by exact whole-number orientation
+    of their ends; segments on one line, and those that share an end's place, don't count. connectable: a condition over tags a_tags and b_tags."""
     s = joins.segments(ds, ways).join(ways.select(F.col("id").alias("way_id"), "tags"), "way_id")
     box = s.select("way_id", "pos", "tags", *(F.col(c).cast("long").alias(c) for c in ("ax", "ay", "bx", "by"))).withColumns({"w": F.least("ax", "bx"), "e": F.greatest("ax", "bx"), "s": F.least("ay", "by"), "n": F.greatest("ay", "by")})
     grid = box.withColumn("cx", F.explode(F.sequence(F.floor(F.col("w") / cell_e7), F.floor(F.col("e") / cell_e7)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("s") / cell_e7), F.floor(F.col("n") / cell_e7))))
@@ -106,6 +106,7 @@ def segment_crossings(ds: Dataset, ways: DataFrame, cell_e7: int, connectable: C
     big = lambda e: F.expr(e.replace("L(", "cast(").replace(")L", " as decimal(20,0))"))
     turn = lambda a, b, c: big(f"sign(L({b}x - {a}x)L * L({c}y - {a}y)L - L({b}y - {a}y)L * L({c}x - {a}x)L)")
     d1, d2, d3, d4 = turn("p.a", "p.b", "q.a"), turn("p.a", "p.b", "q.b"), turn("q.a", "q.b", "p.a"), turn("q.a", "q.b", "p.b")
-    hit = pairs.where((d1 * d2 < 0) & (d3 * d4 < 0))
+    apart = "not (p.ax = q.ax and p.ay = q.ay or p.ax = q.bx and p.ay = q.by or p.bx = q.ax and p.by = q.ay or p.bx = q.bx and p.by = q.by)"
+    hit = pairs.where(apart).where((d1 * d2 <= 0) & (d3 * d4 <= 0) & ((d1 != 0) | (d2 != 0)))
     u = "((q.ax - p.ax) * cast(q.by - q.ay as double) - (q.ay - p.ay) * cast(q.bx - q.ax as double)) / ((p.bx - p.ax) * cast(q.by - q.ay as double) - (p.by - p.ay) * cast(q.bx - q.ax as double))"
     return hit.withColumn("u", F.expr(u)).selectExpr("p.way_id as a", "q.way_id as b", "p.pos as pos_a", "q.pos as pos_b", "cast(floor(p.ax + u * (p.bx - p.ax) + 0.5) as bigint) as x", "cast(floor(p.ay + u * (p.by - p.ay) + 0.5) as bigint) as y")

@@ -27,17 +27,19 @@ def _e7(c):
 
 def to_dataset(features: DataFrame) -> Dataset:
     """Points become nodes, lines ways, polygons closed ways with area=yes, or with holes (and MultiPolygons) relations of
-    the type multipolygon. Vertices at one place share a node. New ids are negative, by the order of features: a feature's
-    own id stays where it has one. MultiPoints and MultiLineStrings are left out; a ring that isn't closed raises."""
+    the type multipolygon, MultiLineStrings relations of the type multilinestring. Vertices at one place share a node. New
+    ids are negative, by the order of features: a feature's own id stays where it has one. MultiPoints are left out; a ring
+    that isn't closed raises."""
     f = features.persist()
     points = f.where("kind = 'Point'").select("ord", "id", "tags", F.from_json("coordinates", POINT).alias("p"))
     lines = f.where("kind = 'LineString'").select("ord", F.lit(0).alias("part"), F.lit(None).cast("string").alias("role"), F.from_json("coordinates", LINE).alias("line"))
+    many = f.where("kind = 'MultiLineString'").select("ord", F.posexplode(F.from_json("coordinates", RINGS)).alias("part", "line"), F.lit("").alias("role"))
     polygons = f.where("kind = 'Polygon'").select("ord", F.array(F.from_json("coordinates", RINGS)).alias("polys")).unionByName(f.where("kind = 'MultiPolygon'").select("ord", F.from_json("coordinates", MULTI).alias("polys")))
     rings = polygons.select("ord", F.posexplode("polys").alias("poly", "rings")).select("ord", "poly", F.posexplode("rings").alias("ring", "line"))
     open_ = F.element_at("line", 1) != F.element_at("line", -1)
     rings = rings.where(F.when(open_, F.raise_error(F.lit("a ring is not closed")).cast("boolean")).otherwise(True))
     rings = rings.select("ord", (F.col("poly") * 100_000 + F.col("ring")).alias("part"), F.when(F.col("ring") == 0, "outer").otherwise("inner").alias("role"), "line")
-    parts = lines.unionByName(rings).select("ord", "part", "role", F.posexplode("line").alias("pos", "p"))
+    parts = lines.unionByName(many).unionByName(rings).select("ord", "part", "role", F.posexplode("line").alias("pos", "p"))
     vertices = parts.select("ord", "part", "role", "pos", _e7(F.get("p", F.lit(0))).alias("lon_e7"), _e7(F.get("p", F.lit(1))).alias("lat_e7"))
     at = points.select("ord", "id", "tags", _e7(F.get("p", F.lit(0))).alias("lon_e7"), _e7(F.get("p", F.lit(1))).alias("lat_e7"))
     named = at.groupBy("lon_e7", "lat_e7").agg(F.min_by(F.struct("id", "tags"), "ord").alias("t"), F.min("ord").alias("o"))
@@ -53,11 +55,11 @@ def to_dataset(features: DataFrame) -> Dataset:
     single = ways.groupBy("ord").agg(F.count("*").alias("parts"))
     ways = ways.join(single, "ord").withColumn("whole", (F.col("kind") == "LineString") | ((F.col("kind") == "Polygon") & (F.col("parts") == 1))).persist()
     area = F.create_map(F.lit("area"), F.lit("yes"))
-    tags = F.when(~F.col("whole"), area).when(F.col("kind") == "Polygon", F.map_concat(F.map_filter("tags", lambda k, _: k != "area"), area)).otherwise(F.col("tags"))
+    tags = F.when(F.col("kind") == "MultiLineString", F.expr("cast(map() as map<string,string>)")).when(~F.col("whole"), area).when(F.col("kind") == "Polygon", F.map_concat(F.map_filter("tags", lambda k, _: k != "area"), area)).otherwise(F.col("tags"))
     out_ways = ways.select(F.when(F.col("whole"), F.coalesce("own", -F.col("n"))).otherwise(-F.col("n")).alias("id"), "refs", tags.alias("tags"))
     member = F.struct(F.lit("way").alias("type"), (-F.col("n")).alias("ref"), "role")
-    groups = ways.where("not whole").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("part", member.alias("m")))).alias("x"), F.first("own").alias("own"), F.first("tags").alias("tags"))
-    kind = F.create_map(F.lit("type"), F.lit("multipolygon"))
+    groups = ways.where("not whole").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("part", member.alias("m")))).alias("x"), F.first("own").alias("own"), F.first("tags").alias("tags"), F.first("kind").alias("kind"))
+    kind = F.create_map(F.lit("type"), F.when(F.col("kind") == "MultiLineString", "multilinestring").otherwise("multipolygon"))
     relations = new_ids(groups, none, ["ord"]).select(F.coalesce("own", -F.col("id")).alias("id"), F.transform("x", lambda x: x["m"]).cast(f"array<{MEMBER}>").alias("members"), F.map_concat(F.map_filter("tags", lambda k, _: k != "type"), kind).alias("tags"))
     return Dataset(nodes, out_ways, relations)
 
