@@ -56,9 +56,18 @@ def from_rows(spark: SparkSession, nodes=(), ways=(), relations=(), name: str =
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the folder that spark.checkpoint.dir names (a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> None:
+    """Keeps the folder that spark.checkpoint.dir names. Where none is set, a temporary one serves a local master; on a
+    cluster, whose machines don't share such a folder, that is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
