@@ -6,11 +6,12 @@ distinct keys (64-bit hashes, once per block however often they occur) to the bu
 bucket answers each block with those of its keys that matter. Blocks and answers meet in a cogroup on ``block_id``; the
 checkpoint keeps the partitioning, so the text isn't shuffled again. A key that a third of all documents hold costs
 one entry per block, no task sees more than one block or one bucket at a time, and nothing is sent to the driver.
+
+A null id stands as ``NULL_ID`` inside blocks, so a doc_id of 2^63-1 is taken for a null one.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraframe.model import shared_folder
+
 U64 = np.uint64
 #: Id that stands for a null one inside blocks; it sorts after all others.
 NULL_ID = np.iinfo(np.int64).max
@@ -31,10 +34,8 @@ K1, K2, CHUNK = U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F), 64
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the folder that the cluster names in spark.checkpoint.dir; sets one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    """Keeps the folder that the cluster names in spark.checkpoint.dir; see model.shared_folder."""
+    shared_folder(spark)
 
 
 def partitions(spark: SparkSession) -> int:
