@@ -273,6 +273,14 @@ def partitioned_checkpoint(df: DataFrame) -> DataFrame:
         conf.set(name, before)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it as long as df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def raw_bytes(blocks: DataFrame) -> int:
     return blocks.agg(F.coalesce(F.sum("raw_len"), F.lit(0))).first()[0]
 

@@ -281,16 +281,17 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT
 
 def near_dedup(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the smallest id (rows of that id with other texts stay)."""
-    docs = docs.withColumn("__text_is_null", F.col(text_col).isNull())
+    mark = B.free_name(docs, "__text_is_null")
+    docs = docs.withColumn(mark, F.col(text_col).isNull())
     blocks, nodes = _clusters(docs, size, percent, id_col, text_col, True)
     stay = nodes.where("doc_id = c").groupBy("doc_id", "n_shingles", "d1", "d2").agg(F.min(F.struct("block_id", "row")).alias("r")).select("r.block_id", "r.row")
 
     def pick(block, answers):
         rows = np.sort(np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(a[1:], np.int32) for a in answers)]))
-        null = block.rest.column("__text_is_null").to_pylist()
-        return block.carried(rows, text_col, [None if null[i] else block.text(i) for i in rows.tolist()]).drop_columns(["__text_is_null"])
+        null = block.rest.column(mark).to_pylist()
+        return block.carried(rows, text_col, [None if null[i] else block.text(i) for i in rows.tolist()]).drop_columns([mark])
 
-    return B.answer_blocks(blocks, _row_answers(stay), pick, docs.drop("__text_is_null").schema)
+    return B.answer_blocks(blocks, _row_answers(stay), pick, docs.drop(mark).schema)
 
 
 def _clusters(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, carry: bool) -> tuple[DataFrame, DataFrame]:

@@ -144,8 +144,9 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
 def _dedup(docs: DataFrame, min_docs: int, min_chars: int, keep: str, id_col: str, text_col: str, carry: bool) -> DataFrame:
     if keep not in ("none", "first"):
         raise ValueError("keep is none or first")
+    mark = B.free_name(docs, "__text_is_null")
     if carry:
-        docs = docs.withColumn("__text_is_null", F.col(text_col).isNull())
+        docs = docs.withColumn(mark, F.col(text_col).isNull())
     blocks = B.text_blocks(docs, id_col, text_col, carry)
     buckets = B.Buckets(docs.sparkSession, B.raw_bytes(blocks) // 40, True)
 
@@ -192,13 +193,13 @@ def _dedup(docs: DataFrame, min_docs: int, min_chars: int, keep: str, id_col: st
             dropped.append(g)
             kept.append(block.text(i) if not g else b"\n".join([raw[start[j] : end[j]] for j in range(a, b) if not gone[j]]))
         if carry:
-            null = block.rest.column("__text_is_null").to_pylist()
+            null = block.rest.column(mark).to_pylist()
             stay = np.array([not g or bool(t.strip(b" \t\n\x0b\x0c\r")) for g, t in zip(dropped, kept)], bool)
             out = block.carried(None, text_col, [None if x else t for x, t in zip(null, kept)])
-            return out.drop_columns(["__text_is_null"]).filter(pa.array(stay))
+            return out.drop_columns([mark]).filter(pa.array(stay))
         return pa.table({"doc_id": block.out_ids(), "n_lines": pa.array(n, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    return B.answer_blocks(blocks, repeated, drop, docs.drop("__text_is_null").schema if carry else RESULT)
+    return B.answer_blocks(blocks, repeated, drop, docs.drop(mark).schema if carry else RESULT)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,6 +162,12 @@ def test_drop_lines_keeps_columns(spark):
     assert sorted((r["doc_id"], r["text"], r["kept"]) for r in out.collect()) == [(0, "same line", "kept"), (7, "own", "kept"), (8, "", "kept"), (9, None, "kept")]
 
 
+def test_columns_named_like_inner_ones_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", True, 3), (2, None, False, None)], "doc_id long, text string, __text_is_null boolean, block_id long")
+    want = sorted((tuple(r) for r in docs.collect()), key=repr)
+    assert collected(line_dedup.drop_lines(docs)) == want and collected(jaccard_join.near_dedup(docs)) == want
+
+
 def test_bloom():
     keys = np.random.default_rng(2).integers(0, 1 << 63, 20000).astype(np.uint64)
     f = line_dedup.Bloom(10000)
