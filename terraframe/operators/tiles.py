@@ -68,13 +68,24 @@ def relation_tiles(ds: Dataset, zoom: int) -> DataFrame:
     return drawn.unionByName(points)
 
 
+def node_features(ds: Dataset, zoom: int) -> DataFrame:
+    """(z, x, y, layer, id) of tagged nodes."""
+    return node_tiles(ds.nodes.where(F.size("tags") > 0), zoom).select("z", "x", "y", F.lit("nodes").alias("layer"), "id")
+
+
+def way_features(ds: Dataset, zoom: int) -> DataFrame:
+    """(z, x, y, layer, id) of tagged ways outside relations, by the tiles that their boxes meet."""
+    return box_tiles(joins.way_boxes(ds, drawn_ways(ds)), zoom).select("z", "x", "y", F.lit("ways").alias("layer"), F.col("way_id").alias("id"))
+
+
+def relation_features(ds: Dataset, zoom: int) -> DataFrame:
+    """(z, x, y, layer, id) of area, line and point relations, by the tiles that their parts' boxes meet."""
+    return relation_tiles(ds, zoom).select("z", "x", "y", F.lit("relations").alias("layer"), "id").distinct()
+
+
 def features(ds: Dataset, zoom: int) -> DataFrame:
-    """(z, x, y, layer, id): tagged nodes, tagged ways outside relations, and area, line and point relations, by the tiles
-    that their boxes meet."""
-    n = node_tiles(ds.nodes.where(F.size("tags") > 0), zoom).select("z", "x", "y", F.lit("nodes").alias("layer"), "id")
-    w = box_tiles(joins.way_boxes(ds, drawn_ways(ds)), zoom).select("z", "x", "y", F.lit("ways").alias("layer"), F.col("way_id").alias("id"))
-    r = relation_tiles(ds, zoom).select("z", "x", "y", F.lit("relations").alias("layer"), "id").distinct()
-    return n.unionByName(w).unionByName(r)
+    """All three of them."""
+    return node_features(ds, zoom).unionByName(way_features(ds, zoom)).unionByName(relation_features(ds, zoom))
 
 
 def geometry_type(ways: DataFrame) -> DataFrame:

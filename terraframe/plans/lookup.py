@@ -45,26 +45,19 @@ def tag_cardinality(ds: Dataset) -> DataFrame:
     return ds.ways.groupBy(F.size("tags").alias("n_tags")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT key, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT id, unnest(map_keys(tags)) AS key FROM nodes) GROUP BY key")
-def tag_postings(ds: Dataset) -> DataFrame:
-    return ds.nodes.select("id", F.explode(F.map_keys("tags")).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-
+WIDE = ", wide AS (SELECT 'node' AS kind, id, tags, 0 AS parts FROM nodes UNION ALL SELECT 'way', id, tags, len(refs) FROM ways UNION ALL SELECT 'relation', id, tags, len(members) FROM relations)"
 
-@query("SELECT s, dense_rank() OVER (ORDER BY s) AS code FROM (SELECT unnest(map_keys(tags)) AS s FROM nodes UNION SELECT unnest(map_values(tags)) FROM nodes WHERE list_contains(map_keys(tags), 'amenity'))")
-def string_table(ds: Dataset) -> DataFrame:
-    """Distinct keys of nodes and values of nodes with an amenity, with dense codes in their order; full_string_table has all
-    strings. The distinct strings are range-partitioned; codes add up from the partitions' sizes."""
-    from terraframe.operators.change import new_ids
 
-    keys = ds.nodes.select(F.explode(F.map_keys("tags")).alias("s"))
-    values = ds.nodes.where(T.has_key(F.col("tags"), "amenity")).select(F.explode(F.map_values("tags")).alias("s"))
-    none = ds.nodes.sparkSession.createDataFrame([(0,)], "id long")
-    return new_ids(keys.unionByName(values).distinct(), none, ["s"]).select("s", F.col("id").alias("code"))
+@query(f"{WIDE} SELECT kind, key, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT kind, id, unnest(map_keys(tags)) AS key FROM wide) GROUP BY kind, key")
+def tag_postings(ds: Dataset) -> DataFrame:
+    keys = ds.wide().select("kind", "id", F.explode(F.map_keys("tags")).alias("key"))
+    return keys.groupBy("kind", "key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-@query()
-def full_string_table(ds: Dataset) -> DataFrame:
-    """Distinct tag keys and values of nodes, ways and relations, and member roles, with dense codes in their order."""
+@query(f"{WIDE} SELECT s, dense_rank() OVER (ORDER BY s) AS code FROM (SELECT unnest(map_keys(tags)) AS s FROM wide UNION SELECT unnest(map_values(tags)) FROM wide UNION SELECT m.role FROM (SELECT unnest(members) AS m FROM relations))")
+def string_table(ds: Dataset) -> DataFrame:
+    """Distinct tag keys and values of nodes, ways and relations, and member roles, with dense codes in their order. The
+    distinct strings are range-partitioned; codes add up from the partitions' sizes."""
     from terraframe.operators.change import new_ids
 
     tags = ds.wide().select(F.explode(F.concat(F.map_keys("tags"), F.map_values("tags"))).alias("s"))
@@ -179,19 +172,25 @@ def ways_bbox_intersects(ds: Dataset) -> DataFrame:
     return spatial.boxes_meeting(joins.way_boxes(ds), (7.41, 43.725, 7.412, 43.727)).select("way_id")
 
 
-@query(f"{BOXES} SELECT way_id, round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(greatest(43.74 - north / 1e7, south / 1e7 - 43.74, 0)) / 2), 2))), 1) AS meters FROM b WHERE west <= 74200000 AND east >= 74200000 AND (south > 437400000 OR north < 437400000) ORDER BY round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(greatest(43.74 - north / 1e7, south / 1e7 - 43.74, 0)) / 2), 2))), 1), way_id LIMIT 20")
-def knn_ways(ds: Dataset) -> DataFrame:
-    """The 20 ways straight north or south of a point that are nearest by their boxes: a top-k report of what its SQL covers;
-    nearest_ways has all ways."""
-    boxes = joins.way_boxes(ds).where("west <= 74200000 and east >= 74200000 and (south > 437400000 or north < 437400000)")
-    every = spatial.box_distances(boxes, 7.42, 43.74).withColumn("meters", F.round("meters", 1))
-    return every.orderBy("meters", "way_id").limit(20).select("way_id", "meters")
+def _box_distance(lon: float, lat: float) -> str:
+    """SQL: metres from a point to a box west, south, east, north in 1e-7 degrees."""
+    on = lambda x, y: _haversine(x, f"least(greatest({y}, south / 1e7), north / 1e7)", lon, lat)
+    best = lambda x: f"degrees(atan2(tan(radians({lat})), cos(radians({x} - {lon}))))"
+    edges = ", ".join(on(x, best(x)) for x in ("west / 1e7", "east / 1e7"))
+    return f"CASE WHEN {lon} BETWEEN west / 1e7 AND east / 1e7 THEN {on(str(lon), str(lat))} ELSE least({edges}) END"
+
 
+#: Points inside the map, beside it and off its corner.
+SPOTS = {"inside": (7.42, 43.74), "beside": (7.3993, 43.731), "corner": (7.4451, 43.7601)}
+_SPOTS = " UNION ALL ".join(f"(SELECT '{k}' AS spot, way_id, round(m, 1) AS meters FROM (SELECT way_id, {_box_distance(*p)} AS m FROM b) ORDER BY m, way_id LIMIT 20)" for k, p in SPOTS.items())
 
-@query()
-def nearest_ways(ds: Dataset) -> DataFrame:
-    """The 20 ways that are nearest to a point by their boxes: a top-k report."""
-    return spatial.nearest_boxes(joins.way_boxes(ds), "way_id", 7.42, 43.74, 20).select("way_id", F.round("meters", 1).alias("meters"))
+
+@query(f"{BOXES} {_SPOTS}")
+def knn_ways(ds: Dataset) -> DataFrame:
+    """The 20 ways that are nearest to each of three points by their boxes, of all ways: a top-k report."""
+    boxes = joins.way_boxes(ds)
+    near = [spatial.nearest_boxes(boxes, "way_id", *p, 20).select(F.lit(k).alias("spot"), "way_id", F.round("meters", 1).alias("meters")) for k, p in SPOTS.items()]
+    return near[0].unionByName(near[1]).unionByName(near[2])
 
 
 CLOSURE = ", m AS (SELECT id, unnest(members, max_depth := 2) FROM relations), c AS (SELECT id AS root, type, ref FROM m UNION SELECT c.root, m.type, m.ref FROM c JOIN m ON c.type = 'relation' AND m.id = c.ref)"
@@ -265,9 +264,12 @@ def dataset_bbox(ds: Dataset) -> DataFrame:
     return ds.nodes.agg(F.min("lon_e7").alias("west"), F.min("lat_e7").alias("south"), F.max("lon_e7").alias("east"), F.max("lat_e7").alias("north"), F.count("*").alias("n"))
 
 
-@query("SELECT CAST(sum(cardinality(tags)) AS BIGINT) AS tag_pairs, CAST(sum(len(refs)) AS BIGINT) AS refs, max(len(refs)) AS longest FROM ways")
+@query(f"{WIDE} SELECT kind, count(*) AS entities, CAST(sum(cardinality(tags)) AS BIGINT) AS tag_pairs, CAST(sum(parts) AS BIGINT) AS parts, CAST(max(parts) AS BIGINT) AS longest FROM wide GROUP BY kind")
 def load_counters(ds: Dataset) -> DataFrame:
-    return ds.ways.agg(F.sum(F.size("tags")).alias("tag_pairs"), F.sum(F.size("refs")).alias("refs"), F.max(F.size("refs")).cast("long").alias("longest"))
+    """Of each kind: entities, tags, references or members, and the most of these in one."""
+    parts = F.when(F.col("kind") == "way", F.size("refs")).when(F.col("kind") == "relation", F.size("members")).otherwise(0).cast("long")
+    each = ds.wide().select("kind", F.size("tags").alias("tags"), parts.alias("parts"))
+    return each.groupBy("kind").agg(F.count("*").alias("entities"), F.sum("tags").alias("tag_pairs"), F.sum("parts").alias("parts"), F.max("parts").alias("longest"))
 
 
 @query(f"SELECT DISTINCT w.id FROM (SELECT id, unnest(refs) AS ref FROM ways) w JOIN nodes n ON n.id = w.ref WHERE {E7}")

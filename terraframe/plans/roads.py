@@ -62,7 +62,11 @@ def _queries(ds: Dataset) -> DataFrame:
     return ds.nodes.sparkSession.createDataFrame([(i, 10 + i, 150 - 7 * i) for i in range(8)], "query long, start long, goal long")
 
 
-@query()
+_SSSP = """, ways_of AS MATERIALIZED (SELECT src, dst, min(CAST(floor(CAST(CAST(meters AS FLOAT) AS DOUBLE) * 1000 + 0.5) AS BIGINT)) AS w FROM (SELECT a AS src, b AS dst, meters FROM len UNION ALL SELECT b, a, meters FROM len WHERE NOT one_way) GROUP BY src, dst),
+best(node, cost) USING KEY (node) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT w.dst, min(best.cost + w.w) FROM best JOIN ways_of w ON w.src = best.node LEFT JOIN recurring.best r ON r.node = w.dst WHERE r.cost IS NULL OR best.cost + w.w < r.cost GROUP BY w.dst)"""
+
+
+@query(f"{ROADS}{_SSSP} SELECT node, cost FROM best")
 def route_sssp(ds: Dataset) -> DataFrame:
     return graph.distances(graph.edges(ds), 1)
 
@@ -97,20 +101,13 @@ def relation_geometry(ds: Dataset) -> DataFrame:
     return geometry.geometry_of(ds)
 
 
-LAYER = """, lf AS (SELECT 'node' AS entity_type, id, 'pois' AS layer, tags['amenity'] AS kind FROM nodes WHERE tags['amenity'] IS NOT NULL UNION ALL SELECT 'node', id, 'places', tags['place'] FROM nodes WHERE tags['place'] IS NOT NULL
-UNION ALL SELECT 'way', id, layer, tags['highway'] FROM ways, (VALUES ('streets'), ('street_labels')) v(layer) WHERE tags['highway'] IS NOT NULL AND NOT (refs[1] = refs[len(refs)] AND len(refs) >= 3 AND cardinality(tags) = 0)
-UNION ALL SELECT 'node', id, 'sites', NULL FROM nodes WHERE false)"""
+LAYER = """, area AS (SELECT *, refs[1] = refs[len(refs)] AND len(refs) >= 3 AS closed FROM ways), lf AS (SELECT 'pois' AS layer, tags['amenity'] AS kind FROM nodes WHERE tags['amenity'] IS NOT NULL UNION ALL SELECT 'places', tags['place'] FROM nodes WHERE tags['place'] IS NOT NULL
+UNION ALL SELECT layer, tags['highway'] FROM area, (VALUES ('streets'), ('street_labels')) v(layer) WHERE tags['highway'] IS NOT NULL AND NOT (closed AND cardinality(tags) = 0)
+UNION ALL SELECT 'buildings', 'building' FROM area WHERE tags['building'] = 'yes' AND closed UNION ALL SELECT 'water', 'water' FROM area WHERE tags['natural'] = 'water' AND closed)"""
 
 
 @query(f"{LAYER} SELECT layer, kind, count(*) AS n FROM lf GROUP BY layer, kind")
 def layer_features(ds: Dataset) -> DataFrame:
-    """Open ways only, as in its SQL: whether a building or water way is closed differs by chance in these tables;
-    all_layer_features has all layers."""
-    return tiles.layer_features(ds).where("layer not in ('buildings', 'water')").groupBy("layer", "kind").agg(F.count("*").alias("n"))
-
-
-@query()
-def all_layer_features(ds: Dataset) -> DataFrame:
     return tiles.layer_features(ds).groupBy("layer", "kind").agg(F.count("*").alias("n"))
 
 
@@ -119,7 +116,8 @@ def layer_mask(ds: Dataset) -> DataFrame:
     return ds.nodes.select("id", layers.layer_mask(F.col("tags"), F.lit("Point")).alias("mask"))
 
 
-@query()
+@query("""SELECT m.ref AS id, CAST(bit_or(mask) AS INTEGER) AS mask FROM (SELECT unnest(members) AS m, CASE WHEN tags['building'] = 'yes' THEN 32 ELSE 0 END + CASE WHEN tags['natural'] = 'wood' THEN 8 ELSE 0 END AS mask
+FROM relations WHERE tags['type'] IN ('multipolygon', 'boundary', 'site')) WHERE m.type = 'way' GROUP BY m.ref""")
 def suppressed_ways(ds: Dataset) -> DataFrame:
     return tiles.suppressed(ds)
 
@@ -131,8 +129,8 @@ _Y = "(0.5 - ln((1 + sin(radians({c} / 1e7))) / (1 - sin(radians({c} / 1e7)))) /
 UNION ALL SELECT x, unnest(range(CAST(floor({_Y.format(c='north')}) AS INTEGER), CAST(floor({_Y.format(c='south')}) AS INTEGER) + 1)), 'ways' FROM (SELECT *, unnest(range(CAST(floor((west / 1e7 + 180) / 360 * 16384) AS INTEGER), CAST(floor((east / 1e7 + 180) / 360 * 16384) AS INTEGER) + 1)) AS x FROM b WHERE way_id NOT IN (SELECT ref FROM c WHERE type = 'way') AND way_id IN (SELECT id FROM ways WHERE cardinality(tags) > 0)))
 SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, layer, count(*) AS n FROM f GROUP BY ALL""")
 def tile_feature_counts(ds: Dataset) -> DataFrame:
-    """Nodes and ways outside relations only, as its SQL has no rings; all layers are in tile_layer_counts."""
-    return tiles.features(ds, 14).where("layer <> 'relations'").groupBy("x", "y", "layer").agg(F.count("*").alias("n"))
+    """Nodes, and ways outside relations; tile_layer_counts has the relations, too, whose rings SQL can't assemble."""
+    return tiles.node_features(ds, 14).unionByName(tiles.way_features(ds, 14)).groupBy("x", "y", "layer").agg(F.count("*").alias("n"))
 
 
 @query()

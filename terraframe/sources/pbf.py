@@ -159,8 +159,13 @@ def _file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str) -> Dataset:
-    """The dataset in PBF files. Blobs are split off by the executors that read the files, dealt out, and decoded where they
-    land; entities may come in any order and nodes dense or not."""
+    """The dataset in PBF files."""
+    return of_files(_file(spark, path), path)
+
+
+def of_files(files: DataFrame, name: str = "") -> Dataset:
+    """The dataset in files, or in pieces of files of whole blobs (content). Blobs are split off where the files are, dealt
+    out, and decoded where they land; entities may come in any order and nodes dense or not."""
 
     def split(batches):
         for b in batches:
@@ -174,10 +179,10 @@ def read(spark: SparkSession, path: str) -> Dataset:
                 rows = [{"refs": None, "members": None, "lon_e7": None, "lat_e7": None, **e, "tags": list(e["tags"].items())} for e in entities(inflate(blob))]
                 yield pa.RecordBatch.from_pylist(rows, schema=_TYPES)
 
-    parts = _file(spark, path).mapInArrow(split, "kind string, blob binary")
-    found = parts.where("kind = 'OSMData'").select("blob").repartition(spark.sparkContext.defaultParallelism).mapInArrow(decode, ENTITY)
+    parts = files.select("content").mapInArrow(split, "kind string, blob binary")
+    found = parts.where("kind = 'OSMData'").select("blob").repartition(files.sparkSession.sparkContext.defaultParallelism).mapInArrow(decode, ENTITY)
     pick = lambda kind, *columns: found.where(F.col("kind") == kind).select(*columns)
-    return Dataset(pick("node", "id", "lon_e7", "lat_e7", "tags"), pick("way", "id", "refs", "tags"), pick("relation", "id", "members", "tags"), path)
+    return Dataset(pick("node", "id", "lon_e7", "lat_e7", "tags"), pick("way", "id", "refs", "tags"), pick("relation", "id", "members", "tags"), name)
 
 
 def _put(n: int) -> bytes:

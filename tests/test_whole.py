@@ -46,7 +46,7 @@ def test_nearest_ways(spark):
     spots = {1: (0, 0), 2: (0.001, 0), 3: (-0.002, 0.0001), 4: (0, 0.003), 5: (0.004, 0.004)}
     nodes = [(k * 10 + i, lon + x + d, lat + y + d, {}) for k, (x, y) in spots.items() for i, d in ((0, -0.0001), (1, 0.0001))]
     ds = model.from_rows(spark, nodes, [(k, [k * 10, k * 10 + 1], {}) for k in spots])
-    got = [(r["way_id"], r["meters"]) for r in lookup.nearest_ways(ds).collect()]
+    got = [(r["way_id"], r["meters"]) for r in lookup.knn_ways(ds).where("spot = 'inside'").collect()]
 
     def meters(x, y):
         x, y = math.radians(max(abs(x) - 0.0001, 0)), math.radians(max(abs(y) - 0.0001, 0))
@@ -62,7 +62,7 @@ def test_all_layers_and_strings(spark):
     nodes = [(i, i / 10, i / 10 * (i % 2), {"note": "n1"} if i == 1 else {}) for i in range(1, 4)]
     ways = [(1, [1, 2, 3, 1], {"building": "yes"}), (2, [1, 2, 3, 1], {"natural": "water"}), (3, [1, 2], {"highway": "primary"})]
     ds = model.from_rows(spark, nodes, ways, [(1, [("way", 1, "outer")], {"type": "multipolygon"})])
-    got = {(r["layer"], r["kind"], r["n"]) for r in roads.all_layer_features(ds).collect()}
+    got = {(r["layer"], r["kind"], r["n"]) for r in roads.layer_features(ds).collect()}
     assert {("buildings", "building", 1), ("water", "water", 1), ("streets", "primary", 1)} <= got
     want = sorted({"note", "n1", "building", "yes", "natural", "water", "highway", "primary", "type", "multipolygon", "outer"})
-    assert sorted((r["code"], r["s"]) for r in lookup.full_string_table(ds).collect()) == list(enumerate(want, 1))
+    assert sorted((r["code"], r["s"]) for r in lookup.string_table(ds).collect()) == list(enumerate(want, 1))
