@@ -5,9 +5,9 @@ suffix automaton. Each document streams through it; the automaton keeps the long
 Where it reaches ``window`` words, or all words of an item that has fewer, these words are hit. A word that no item has
 resets the automaton, so only stretches of known words as long as the shortest window are streamed word by word.
 
-The automaton is built on the driver and broadcast, ``MAX_WORDS`` item words at most at a time: more items are dealt by
-their ids' hash over several automata, each of which takes its own pass over the documents; the passes' hits are united
-per document. So what is broadcast doesn't grow with the items.
+The automaton is built on the driver and broadcast, about ``MAX_WORDS`` item words at a time: more items are dealt by
+their hash over several automata, each of which takes its own pass over the documents and is dropped before the next one
+is built; a column carries the passes' hits and items. So neither the driver nor a broadcast holds more, however many items.
 
 Defined results: null and empty texts have no words; items without words count for nothing; items with
 a null id hit words and count as one item without a name; repeated items count once. A null doc_id stays null. Empty tables give empty results or no hits.
@@ -19,11 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraframe.llm import _blocks as B
 from terraframe.llm._session import table
+from terraframe.model import checkpointed
 
 WINDOW = 10
 #: Item words in one automaton.
@@ -32,6 +34,9 @@ MAX_WORDS = 200_000
 CHARS_PER_WORD = 6
 #: A document with more than this share of its words hit goes as a whole.
 MAX_COVERAGE = 0.5
+#: Texts that are scanned together.
+STEP = 256
+EARLIER = "struct<items:array<string>,hits:binary>"
 RESULT = "doc_id long, n_words long, n_hit long, items array<string>, hits binary"
 
 
@@ -150,57 +155,102 @@ def by_name(name: str | None) -> tuple:
     return name is None, name or ""
 
 
-def automata(items: DataFrame, id_col: str, text_col: str, window: int, max_words: int) -> Iterator[tuple]:
+def automata(items: DataFrame, id_col: str, text_col: str, window: int, max_words: int) -> tuple[int, Iterator[tuple]]:
+    """How many automata the items take, and the automata, each built when it is asked for."""
     own = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
     chars = own.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     n = max(1, -(-chars // (max_words * CHARS_PER_WORD)))
-    for i in range(n):
-        part = own if n == 1 else own.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i)
-        yield build(sorted({(r["id"], r["text"]) for r in part.collect()}, key=lambda x: (by_name(x[0]), x[1])), window)
+    part = lambda i: own if n == 1 else own.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i)
+    return n, (build(sorted({(r["id"], r["text"]) for r in part(i).collect()}, key=lambda x: (by_name(x[0]), x[1])), window) for i in range(n))
+
+
+def united(block: B.Block, automaton: tuple, earlier: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[set[str]], np.ndarray]:
+    """Starts and ends of the block's words, which of them are hit in this or an earlier pass, each document's items, and
+    the place of its first word."""
+    s, e, doc, hit, names = find(block, *automaton)
+    bounds = np.searchsorted(doc, np.arange(len(block.ids) + 1))
+    for i, x in enumerate(earlier or ()):
+        if x and x["hits"]:
+            own = hit[bounds[i] : bounds[i + 1]]
+            own |= np.unpackbits(np.frombuffer(x["hits"], np.uint8), count=len(own)).view(bool)
+            names[i] |= set(x["items"])
+    return s, e, hit, names, bounds
+
+
+def packed(hit: np.ndarray, names: list[set[str]], bounds: np.ndarray) -> tuple[np.ndarray, list[list[str]], list[bytes]]:
+    """Of each document: the number of words hit, its items, and a bit per word."""
+    n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[bounds])
+    return n_hit, [sorted(x, key=by_name) for x in names], [np.packbits(hit[a:b]).tobytes() if n else b"" for a, b, n in zip(bounds[:-1], bounds[1:], n_hit)]
+
+
+def blocks_of(texts: list) -> Iterator[tuple[int, B.Block]]:
+    """Blocks of STEP texts, with the place of their first."""
+    for first in range(0, len(texts), STEP):
+        own = texts[first : first + STEP]
+        yield first, B.Block.of(np.arange(first, first + len(own)), [t.encode() if isinstance(t, str) else t for t in own])
+
+
+def passes(df: DataFrame, text_col: str, n: int, built: Iterator[tuple]) -> tuple[DataFrame, str | None, Broadcast]:
+    """df after a pass of each automaton but the last, the column of their hits and items (None without any), and the last
+    automaton, broadcast. Each pass is written to the shared folder before its automaton is dropped and the next one is built,
+    so one is held at a time, whatever the number of items."""
+    sc = df.sparkSession.sparkContext
+    if n == 1:
+        return df, None, sc.broadcast(next(built))
+    mark = B.free_name(df, "_earlier")
+    df = df.withColumn(mark, F.lit(None).cast(EARLIER))
+    at, last = df.columns.index(text_col), len(df.columns) - 1
+    kind = pa.struct([("items", pa.list_(pa.string())), ("hits", pa.binary())])
+    for _ in range(n - 1):
+        shared = sc.broadcast(next(built))
+
+        def run(batches, shared=shared):
+            for b in batches:
+                before, out = b.column(last).to_pylist(), []
+                for first, block in blocks_of(b.column(at).to_pylist()):
+                    _, _, hit, names, bounds = united(block, shared.value, before[first : first + STEP])
+                    out += [{"items": x, "hits": y} for x, y in zip(*packed(hit, names, bounds)[1:])]
+                yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array(out, kind)], names=b.schema.names)
+
+        df = checkpointed(df.mapInArrow(run, df.schema))
+        shared.destroy()
+    return df, mark, sc.broadcast(next(built))
 
 
 def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """RESULT with one row for each row of docs: n_hit words of n_words are hit, of the items; hits has a bit per word."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    passes = [sc.broadcast(x) for x in automata(items, item_id_col, item_text_col, window, max_words)]
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    own, mark, shared = passes(own, "text", *automata(items, item_id_col, item_text_col, window, max_words))
 
     def run(batches):
         for block in B.local_blocks(batches):
-            hit, names = None, [set() for _ in block.ids]
-            for x in passes:
-                _, _, doc, own, found = find(block, *x.value)
-                hit = own if hit is None else hit | own
-                names = [a | b for a, b in zip(names, found)]
-            bounds = np.searchsorted(doc, np.arange(len(block.ids) + 1))
-            n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[bounds])
-            bits = [np.packbits(hit[a:b]).tobytes() if n else b"" for a, b, n in zip(bounds[:-1], bounds[1:], n_hit)]
-            yield pa.RecordBatch.from_arrays([block.out_ids(), pa.array(np.diff(bounds), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x, key=by_name) for x in names], pa.list_(pa.string())), pa.array(bits, pa.binary())], names=["doc_id", "n_words", "n_hit", "items", "hits"])
+            _, _, hit, names, bounds = united(block, shared.value, mark and block.rest.to_pylist())
+            n_hit, found, bits = packed(hit, names, bounds)
+            yield pa.RecordBatch.from_arrays([block.out_ids(), pa.array(np.diff(bounds), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(bits, pa.binary())], names=["doc_id", "n_words", "n_hit", "items", "hits"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, RESULT)
+    if mark:  # a struct that is never null itself
+        own = own.select("doc_id", "text", F.struct(f"{mark}.items", f"{mark}.hits").alias(mark))
+    return own.mapInArrow(run, RESULT)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """docs without the documents of which more than max_coverage of the words are hit; in the others, each run of hit
     words is cut out of the text. All other columns, and texts without hits, stay as they are."""
-    sc = docs.sparkSession.sparkContext
-    passes = [sc.broadcast(x) for x in automata(items, item_id_col, item_text_col, window, max_words)]
-    at = docs.columns.index(text_col)
+    schema, at = docs.schema, docs.columns.index(text_col)
+    docs, mark, shared = passes(docs, text_col, *automata(items, item_id_col, item_text_col, window, max_words))
+    width = len(schema)
 
     def run(batches):
         for b in batches:
             texts = b.column(at).to_pylist()
+            earlier = b.column(width).to_pylist() if mark else []
             gone = np.zeros(len(texts), bool)
-            for first in range(0, len(texts), 256):
-                block = B.Block.of(np.arange(first, min(first + 256, len(texts))), [t and t.encode() for t in texts[first : first + 256]])
-                hit = None
-                for x in passes:
-                    s, e, doc, own, _ = find(block, *x.value)
-                    hit = own if hit is None else hit | own
-                bounds = np.searchsorted(doc, np.arange(len(block.ids) + 1))
-                for i in np.unique(doc[hit]).tolist():
+            for first, block in blocks_of(texts):
+                s, e, hit, _, bounds = united(block, shared.value, earlier[first : first + STEP])
+                n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[bounds])
+                for i in np.flatnonzero(n_hit).tolist():
                     mine = hit[bounds[i] : bounds[i + 1]]
-                    if mine.sum() > max_coverage * len(mine):
+                    if n_hit[i] > max_coverage * len(mine):
                         gone[first + i] = True
                         continue
                     d = np.diff(np.concatenate([[0], mine.view(np.int8), [0]]))
@@ -210,10 +260,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
                         out.append(block.raw[left:x])
                         left = y
                     texts[first + i] = b"".join([*out, block.raw[left : block.off[i] + block.lens[i]]]).decode()
-            columns = [pa.array(texts, b.schema.field(i).type) if i == at else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(~gone))
+            columns = [pa.array(texts, b.schema.field(i).type) if i == at else c for i, c in enumerate(b.columns[:width])]
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:width]).filter(pa.array(~gone))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,10 @@ def test_decontaminate_cuts(spark):
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert set(got) == {1, 3, 4, 5} and got[3] == "clean text" and got[4] is None
     assert got[1].startswith("keep own0") and got[1].endswith("own29 , tail") and "q0" not in got[1]
+    more = items(spark, [(0, passage), (1, "tail clean " * 3), (2, "keep own0"), (3, "own28 own29")])
+    one, several = (sorted((r["doc_id"], r["text"] or "") for r in decontaminate.decontaminate(docs, more, max_words=n).collect()) for n in (200_000, 3))
+    assert one == several and len(one) == 4 and one[0][1].split()[0] == "own1"
+    assert decontaminate.decontaminate(docs, more, max_words=3).columns == docs.columns
     assert decontaminate.decontaminate(documents(spark, []), items(spark, [])).count() == 0
     assert decontaminate.scan(docs, items(spark, [])).agg(F.sum("n_hit")).first()[0] == 0
 
