@@ -12,11 +12,11 @@ least ``percent``/100.
    entries divided by l. A pair must share the smaller of both l's.
    A set's shingles that no other class has bound its overlap with all others; lists drop what can't link by that.
 4. Candidates are verified in rounds. In a round, each posting list whose documents lie in two or more components links
-   them to one hub, the document with the fewest shingles of its own that wasn't a hub before; these stars are verified
-   and the components joined. A group of thousands of near copies so takes about one pair per copy, not all pairs. When
+   them to one hub, the document with the fewest shingles of its own that wasn't a hub before; of these stars the pairs
+   that share the smaller of both l's are verified, and the components joined. A group of thousands of near copies so takes about one pair per copy, not all pairs. When
    a round closes few lists, all pairs of different components in the open lists are formed, each once, their shared
    shingles counted against l, and verified. So no link between components is missed; only pairs that are connected already aren't formed.
-5. To verify, the smaller document's set goes once to each block that holds partners of it.
+5. To verify, each document that others ask for hands out its set once; a join deals it to the blocks of its partners.
 
 Components come from alternating large and small stars (Kiveris et al., 2014), checkpointed; nothing is collected.
 
@@ -175,10 +175,11 @@ def lists(posted: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(blocks: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (a, block_a, b, block_b) whose sets link. The set of a goes once to each block of its partners."""
+    """Those of pairs (a, block_a, b, block_b) whose sets link. A block hands out each set once, however many blocks ask for
+    it; the join by (a, block_a) copies it row by row, so no task holds a hub's copies."""
     asked = pairs.select("a", "block_a", "block_b").distinct()
-    ask = asked.groupBy(F.col("block_a").alias("block_id")).agg(F.collect_list(F.struct("a", "block_b")).alias("asks"))
-    set_schema = "block_id long, a long, hashes binary"
+    ask = asked.select(F.col("block_a").alias("block_id"), "a").distinct()
+    set_schema = "block_a long, a long, hashes binary"
 
     def sets_of(block: B.Block, wanted: set[int]) -> dict[int, list[np.ndarray]]:
         rows = np.flatnonzero(np.isin(block.ids, np.fromiter(wanted, np.int64, len(wanted))))
@@ -191,15 +192,15 @@ def verify(blocks: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
         return sets
 
     def out(left: pa.Table, right: pa.Table) -> pa.Table:
-        asks = [x for r in right.column("asks").to_pylist() for x in r]
+        asks = right.column("a").to_pylist()
         rows = []
         for block in B.blocks_in(left) if asks else ():
-            sets = sets_of(block, {x["a"] for x in asks})
-            rows += [(x["block_b"], x["a"], one.tobytes()) for x in asks for one in sets[x["a"]]]
-        return pa.Table.from_batches([B.batch(pa.schema([("block_id", pa.int64()), ("a", pa.int64()), ("hashes", pa.binary())]), rows)])
+            rows += [(block.block_id, a, one.tobytes()) for a, own in sets_of(block, set(asks)).items() for one in own]
+        return pa.Table.from_batches([B.batch(pa.schema([("block_a", pa.int64()), ("a", pa.int64()), ("hashes", pa.binary())]), rows)])
 
     sets = blocks.groupBy("block_id").cogroup(ask.groupBy("block_id")).applyInArrow(out, set_schema)
-    told = sets.select("block_id", F.struct("a", "hashes").alias("set"), F.lit(None).cast("struct<a:long,b:long>").alias("pair"))
+    dealt = asked.join(sets, ["a", "block_a"]).withColumnRenamed("block_b", "block_id")
+    told = dealt.select("block_id", F.struct("a", "hashes").alias("set"), F.lit(None).cast("struct<a:long,b:long>").alias("pair"))
     told = told.unionByName(pairs.select(F.col("block_b").alias("block_id"), F.lit(None).cast("struct<a:long,hashes:binary>").alias("set"), F.struct("a", "b").alias("pair")))
 
     def test(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -243,12 +244,18 @@ def near(a: str, b: str, percent: int) -> str:
 
 
 def star_pairs(entries: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, block_a, b, block_b) of each list's hub with its documents of other components. entries: token, doc_id,
-    n, s, block_id, c. The hub is the document with the fewest shingles of its own, of those not tried as hubs."""
+    """Pairs (a, block_a, b, block_b) of each list's hub with its documents of other components, and whether they have
+    enough matches: as many shared tokens as one of both asks for. entries: token, doc_id, n, l, s, block_id, c. The hub is
+    the document with the fewest shingles of its own, of those not tried as hubs. As both are in different components, all
+    tokens that they share are in entries."""
     e = entries.join(tried.withColumn("again", F.lit(1)), "doc_id", "left").withColumn("e", F.struct("doc_id", "block_id", "n", "s", "c"))
     hubs = e.groupBy("token").agg(F.min_by("e", F.struct(F.coalesce("again", F.lit(0)).alias("again"), (F.col("n") - F.col("s")).alias("own"), F.col("doc_id").alias("i"))).alias("h"))
     pairs = e.join(hubs, "token").where(f"h.c <> e.c and {near('h', 'e', percent)}")
-    return pairs.select(F.col("h.doc_id").alias("a"), F.col("h.block_id").alias("block_a"), F.col("e.doc_id").alias("b"), F.col("e.block_id").alias("block_b")).distinct()
+    pairs = pairs.select(F.col("h.doc_id").alias("a"), F.col("h.block_id").alias("block_a"), F.col("e.doc_id").alias("b"), F.col("e.block_id").alias("block_b")).distinct()
+    own = entries.groupBy("doc_id").agg(F.collect_set("token").alias("t"), F.min("l").alias("l"))
+    side = lambda x: own.select(F.col("doc_id").alias(x), F.col("t").alias(f"t_{x}"), F.col("l").alias(f"l_{x}"))
+    shared = F.size(F.array_intersect("t_a", "t_b"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "block_a", "b", "block_b", (shared >= F.least("l_a", "l_b")).alias("enough"))
 
 
 def open_lists(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -324,8 +331,8 @@ def _clusters(docs: DataFrame, size: int, percent: int, id_col: str, text_col: s
         if not left:
             break
         last = before is not None and left > CLOSED * before
-        pairs = (rest_pairs(open_, percent) if last else star_pairs(open_, tried, percent)).checkpoint()
-        labels = components(verify(blocks, pairs, size, percent), labels)
+        pairs = (rest_pairs(open_, percent).withColumn("enough", F.lit(True)) if last else star_pairs(open_, tried, percent)).checkpoint()
+        labels = components(verify(blocks, pairs.where("enough"), size, percent), labels)
         if last:
             break
         tried, before = tried.unionByName(pairs.select(F.col("a").alias("doc_id"))).distinct(), left
