@@ -100,6 +100,23 @@ def tile_bounds(x: Column, y: Column, zoom: Column) -> tuple[Column, Column, Col
     return x / n * 360 - 180, lat(y + 1), (x + 1) / n * 360 - 180, lat(y)
 
 
+#: Latitude at the edges of the square Mercator world.
+MAX_LATITUDE = 85.05112878
+
+
+def world(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Position in the Mercator world, from 0 to 1; longitudes wrap, latitudes are clamped."""
+    f = F.radians(F.least(F.greatest(lat, F.lit(-MAX_LATITUDE)), F.lit(MAX_LATITUDE)))
+    y = (1 - F.log(F.tan(f) + 1 / F.cos(f)) / math.pi) / 2
+    return F.pmod((lon + 180) / 360, F.lit(1.0)), F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0))
+
+
+def from_world(x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a position."""
+    inside = F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0))
+    return F.pmod(x, F.lit(1.0)) * 360 - 180, F.degrees(F.atan(F.sinh(F.lit(math.pi) * (1 - 2 * inside))))
+
+
 def zigzag(v: Column) -> Column:
     return F.shiftleft(v, 1).bitwiseXOR(F.shiftright(v, 63))
 

@@ -71,3 +71,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage, in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def entity_texts(ds: Dataset) -> DataFrame:
+    """(kind, id, body, tags): all of each entity as text."""
+    text = lambda c: F.array_join(c, ",")
+    tags = F.expr("array_join(transform(array_sort(map_entries(tags)), e -> concat(e.key, '=', e.value)), ';')").alias("tags")
+    n = ds.nodes.select(F.lit("node").alias("kind"), "id", F.concat_ws(" ", "lon_e7", "lat_e7").alias("body"), tags)
+    w = ds.ways.select(F.lit("way").alias("kind"), "id", text(F.transform("refs", lambda r: r.cast("string"))).alias("body"), tags)
+    r = ds.relations.select(F.lit("relation").alias("kind"), "id", text(F.transform("members", lambda m: F.concat_ws(" ", m["type"], m["ref"].cast("string"), m["role"]))).alias("body"), tags)
+    return n.unionByName(w).unionByName(r)
+
+
+def fingerprint(ds: Dataset) -> DataFrame:
+    """One row (entities, hash): the number of entities, and 60 bits of each one's digest, combined whatever their order."""
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", "kind", F.col("id").cast("string"), "body", "tags")), 1, 15), 16, 10).cast("long")
+    return entity_texts(ds).agg(F.count("*").alias("entities"), F.bit_xor(digest).alias("hash"))

@@ -63,6 +63,35 @@ def change_stats(changes: DataFrame) -> DataFrame:
     return changes.agg(F.count("*").alias("total"), *[count("entity_type", k).alias(f"{k}_changes") for k in KINDS], *[count("change_type", k).alias(f"{k}s") for k in ("create", "modify", "delete")])
 
 
+def change_summary(stats: DataFrame) -> DataFrame:
+    """(summary): the counts of entities' changes as one line of text, without zeros, largest first."""
+    labels = {"total": "total changes"} | {f"{k}_changes": f"{k} changes" for k in KINDS}
+    counts = F.array(*[F.struct((-F.col(c)).alias("n"), F.lit(i).alias("i"), F.lit(v).alias("label")) for i, (c, v) in enumerate(labels.items())])
+    shown = F.transform(F.array_sort(F.filter(counts, lambda x: x["n"] < 0)), lambda x: F.concat(F.lit(" "), x["label"], F.lit(": "), F.format_number(-x["n"], 0)))
+    return stats.select(F.when(F.size(shown) == 0, "Changeset is empty.").otherwise(F.concat(F.lit("Changeset summary: "), F.array_join(shown, ", "))).alias("summary"))
+
+
+def fold(base: DataFrame, edits: DataFrame) -> DataFrame:
+    """(entity_type, id, change_type, body, old_body): the net change of each entity of a sequence of edits (seq,
+    entity_type, id, op, body) on base (entity_type, id, body).
+
+    A create or delete replaces what was before. A modify after a create stays a create, and takes the new body; old_body is
+    the one in base, none for a create. A modify of what is deleted, or of what isn't there, raises when the result is read.
+    The edits of an entity are sorted and folded by windows and partial aggregates, never gathered."""
+    from pyspark.sql import Window as W
+
+    key, op = ["entity_type", "id"], F.col("op")
+    known = base.select(*key, F.col("body").alias("old_body"), F.lit(True).alias("there"))
+    e = edits.withColumn("before", F.lag("op").over(W.partitionBy(*key).orderBy("seq"))).join(known, key, "left")
+    wrong = (op == "modify") & F.coalesce(F.col("before") == "delete", F.col("there").isNull() & F.col("before").isNull())
+    e = e.where(F.when(wrong, F.raise_error(F.concat(F.lit("cannot modify "), F.concat_ws(" ", *key))).cast("boolean")).otherwise(True))
+    reset = F.max_by(F.when(op != "modify", F.struct("op", "body")), F.when(op != "modify", F.col("seq")))
+    net = e.groupBy(*key).agg(reset.alias("reset"), F.max_by("body", "seq").alias("last"), F.any_value("old_body").alias("own"))
+    kind, gone = F.coalesce("reset.op", F.lit("modify")), F.coalesce("reset.body", "own")
+    body = F.when(kind == "delete", gone).otherwise(F.col("last"))
+    return net.select(*key, kind.alias("change_type"), body.alias("body"), F.when(kind == "delete", gone).when(kind == "modify", F.col("own")).alias("old_body"))
+
+
 def change_page(changes: DataFrame, page: int, size: int, kinds: tuple[str, ...] = KINDS, types: tuple[str, ...] = ("create", "modify", "delete")) -> DataFrame:
     """A page of the changes that pass the filters, nodes before ways before relations, then by id; from page 0. The rows
     of a page are cut by a top-k of all rows up to its end, so no global window is needed."""
@@ -188,9 +217,9 @@ def splice(ds: Dataset, inserts: DataFrame) -> DataFrame:
     return ds.ways.join(refs, "id", "left").select("id", T.without_repeats(F.coalesce(F.transform("x", lambda x: x["ref"]), F.col("refs"))).alias("refs"), "tags")
 
 
-def osc_rows(base: Dataset, patch: Dataset, changes: DataFrame) -> DataFrame:
+def osc_rows(base: Dataset, patch: Dataset, changes: DataFrame, augmented: bool = False) -> DataFrame:
     """(section, o, id, xml): each change as an element of an osmChange file; sections create, modify, delete, in these
-    nodes, ways, relations by id."""
+    nodes, ways, relations by id. Augmented, modified elements have their old and new form, deleted ones the old form."""
     tag = lambda tags: F.array_join(F.transform(T.sorted_entries(tags), lambda e: F.concat(F.lit('<tag k="'), text.xml_escape(e["key"]), F.lit('" v="'), text.xml_escape(e["value"]), F.lit('"/>'))), "")
     num = lambda c: F.format_string("%.7f", c / 1e7)
     i = F.col("id").cast("string")
@@ -202,6 +231,12 @@ def osc_rows(base: Dataset, patch: Dataset, changes: DataFrame) -> DataFrame:
         r = ds.relations.select(F.lit("relation").alias("entity_type"), F.lit(2).alias("o"), "id", F.concat(F.lit('<relation id="'), i, F.lit('">'), F.array_join(m, ""), tag(F.col("tags")), F.lit("</relation>")).alias("xml"))
         return n.unionByName(w).unionByName(r)
 
+    if augmented:
+        now, was = bodies(patch).withColumnRenamed("xml", "now"), bodies(base).select("entity_type", "id", F.col("o").alias("p"), F.col("xml").alias("was"))
+        old = F.concat(F.lit("<old>"), F.col("was"), F.lit("</old>"))
+        both = changes.join(now, ["entity_type", "id"], "left").join(was, ["entity_type", "id"], "left")
+        xml = F.when(F.col("change_type") == "delete", old).when(F.col("change_type") == "modify", F.concat(old, F.lit("<new>"), F.col("now"), F.lit("</new>"))).otherwise(F.col("now"))
+        return both.select(F.col("change_type").alias("section"), F.coalesce("o", "p").alias("o"), "id", xml.alias("xml"))
     new = changes.where("change_type <> 'delete'").join(bodies(patch), ["entity_type", "id"])
     old = changes.where("change_type = 'delete'").join(bodies(base), ["entity_type", "id"])
     return new.unionByName(old).select(F.col("change_type").alias("section"), "o", "id", "xml")

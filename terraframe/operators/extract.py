@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraframe.functions import tags as T
@@ -63,3 +63,26 @@ def _members_among(relations: DataFrame, present: DataFrame) -> DataFrame:
     m = relations.select("id", F.posexplode("members").alias("pos", "m")).select("id", "pos", "m.*").join(present, ["type", "ref"], "left_semi")
     kept = m.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("type", "ref", "role").alias("m")))).alias("x"))
     return relations.join(kept, "id", "left").select("id", F.coalesce(F.transform("x", lambda x: x["m"]), F.array().cast("array<struct<type:string,ref:bigint,role:string>>")).alias("members"), "tags")
+
+
+def ingest(ds: Dataset, box: spatial.Box | None = None, rules: dict[str, list[tuple[str, str | None]]] | None = None, accept: dict[str, Column] | None = None) -> Dataset:
+    """The part of ds that is taken while it is read. With a box, nodes are those inside, ways keep their references to nodes
+    taken, relations their node and way members taken, and those left with none go. Then the rules of a kind's tags
+    hold, then its condition in accept, on the entity as it is by then."""
+
+    def cut(df: DataFrame, kind: str) -> DataFrame:
+        df = df.where(T.matches_rules(F.col("tags"), (rules or {}).get(kind, [])))
+        return df.where(accept[kind]) if accept and kind in accept else df
+
+    nodes = cut(ds.nodes if box is None else spatial.nodes_in_box(ds.nodes, box), "nodes")
+    ways, relations = ds.ways, ds.relations
+    if box is not None:
+        refs = ways.select("id", F.posexplode("refs").alias("pos", "ref")).join(nodes.select(F.col("id").alias("ref")), "ref", "left_semi")
+        kept = refs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "ref"))).alias("x"))
+        ways = ways.join(kept, "id").select("id", F.transform("x", lambda x: x["ref"]).alias("refs"), "tags")
+    ways = cut(ways, "ways")
+    if box is not None:
+        ways = checkpointed(ways)
+        present = nodes.select(F.lit("node").alias("type"), F.col("id").alias("ref")).unionByName(ways.select(F.lit("way").alias("type"), F.col("id").alias("ref")))
+        relations = _members_among(relations, present).where(F.size("members") > 0)
+    return Dataset(nodes, ways, cut(relations, "relations"), ds.name, ds.header if box is None else ds.header | {"bbox": box})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraframe.functions import geo
@@ -82,14 +82,15 @@ def relation_points(ds: Dataset) -> DataFrame:
     return m.join(ds.nodes.select(F.col("id").alias("ref"), "lon_e7", "lat_e7"), "ref").select("relation_id", "pos", "ref", "lon_e7", "lat_e7")
 
 
-def segments(ds: Dataset, ways: DataFrame | None = None) -> DataFrame:
-    """(way_id, pos, a, b, coordinates of both): neighbouring references with their coordinates; segments with a missing
-    end go. Both ends come from one pass over the references."""
-    w = (ds.ways if ways is None else ways).select(F.col("id").alias("way_id"), F.posexplode(F.arrays_zip(F.col("refs").alias("a"), F.slice("refs", F.lit(2), F.size("refs")).alias("b"))).alias("pos", "s")).select("way_id", "pos", F.col("s.a").alias("a"), F.col("s.b").alias("b")).where("b is not null")
+def segments(ds: Dataset, ways: DataFrame | None = None, **carried: Column) -> DataFrame:
+    """(way_id, pos, a, b, coordinates of both, carried): neighbouring references with their coordinates; segments with a
+    missing end go. Both ends come from one pass over the references; carried columns of the way come along, so that no join
+    has to fetch them."""
+    w = (ds.ways if ways is None else ways).select(F.col("id").alias("way_id"), *[c.alias(k) for k, c in carried.items()], F.posexplode(F.arrays_zip(F.col("refs").alias("a"), F.slice("refs", F.lit(2), F.size("refs")).alias("b"))).alias("pos", "s")).select("way_id", "pos", F.col("s.a").alias("a"), F.col("s.b").alias("b"), *carried).where("b is not null")
     n = ds.nodes
     a = n.select(F.col("id").alias("a"), F.col("lon_e7").alias("ax"), F.col("lat_e7").alias("ay"))
     b = n.select(F.col("id").alias("b"), F.col("lon_e7").alias("bx"), F.col("lat_e7").alias("by"))
-    return w.join(a, "a").join(b, "b").select("way_id", "pos", "a", "b", "ax", "ay", "bx", "by")
+    return w.join(a, "a").join(b, "b").select("way_id", "pos", "a", "b", "ax", "ay", "bx", "by", *carried)
 
 
 def segment_length(s: DataFrame) -> DataFrame:

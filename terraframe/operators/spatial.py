@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terraframe.functions import geo
+from terraframe.functions.tags import any_of
 from terraframe.model import Dataset
 from terraframe.operators import joins
 
@@ -45,8 +46,17 @@ def nearest_planar(nodes: DataFrame, lon: float, lat: float, k: int) -> DataFram
 
 def boxes_meeting(boxes: DataFrame, box: Box) -> DataFrame:
     """Rows (west, south, east, north in 1e-7 degrees) whose box meets a box in degrees."""
+    return boxes.where(_meets(box))
+
+
+def boxes_meeting_any(boxes: DataFrame, views: list[Box]) -> DataFrame:
+    """Rows whose box meets any of some boxes, each once: one scan, no union."""
+    return boxes.where(any_of([_meets(v) for v in views]))
+
+
+def _meets(box: Box) -> Column:
     w, s, e, n = geo.box_bounds_e7(box)
-    return boxes.where((F.col("west") <= e) & (F.col("east") >= w) & (F.col("south") <= n) & (F.col("north") >= s) & (F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north")))
+    return ((F.col("west") <= e) & (F.col("east") >= w) & (F.col("south") <= n) & (F.col("north") >= s) & (F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north")))
 
 
 def box_distances(boxes: DataFrame, lon: float, lat: float) -> DataFrame:

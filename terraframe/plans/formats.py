@@ -6,23 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraframe.functions import layers
-from terraframe.model import Dataset
+from terraframe.model import Dataset, entity_texts, fingerprint
 from terraframe.plans.base import query, tags_sql, tags_text
 from terraframe.plans.lookup import POINTS
 from terraframe.sources import geojson, gtfs, pbf
 from terraframe.sources.tables import _pick, _tags, pick
 
 
-@query(f"""SELECT 'node' AS kind, id, lon_e7 || ' ' || lat_e7 AS body, {tags_sql()} FROM nodes UNION ALL SELECT 'way', id, array_to_string(refs, ','), {tags_sql()} FROM ways
-UNION ALL SELECT 'relation', id, array_to_string([m.type || ' ' || m.ref || ' ' || m.role for m in members], ','), {tags_sql()} FROM relations""")
+_TEXTS = f"""SELECT 'node' AS kind, id, lon_e7 || ' ' || lat_e7 AS body, {tags_sql()} FROM nodes UNION ALL SELECT 'way', id, array_to_string(refs, ','), {tags_sql()} FROM ways
+UNION ALL SELECT 'relation', id, array_to_string([m.type || ' ' || m.ref || ' ' || m.role for m in members], ','), {tags_sql()} FROM relations"""
+
+
+@query(_TEXTS)
 def pbf_round_trip(ds: Dataset) -> DataFrame:
     """All entities, encoded as PBF blobs and decoded again."""
     back = pbf.of_files(pbf.encoded(ds).select(F.col("blob").alias("content")))
-    text = lambda c: F.array_join(c, ",")
-    n = back.nodes.select(F.lit("node").alias("kind"), "id", F.concat_ws(" ", "lon_e7", "lat_e7").alias("body"), "tags")
-    w = back.ways.select(F.lit("way").alias("kind"), "id", text(F.transform("refs", lambda r: r.cast("string"))).alias("body"), "tags")
-    r = back.relations.select(F.lit("relation").alias("kind"), "id", text(F.transform("members", lambda m: F.concat_ws(" ", m["type"], m["ref"].cast("string"), m["role"]))).alias("body"), "tags")
-    return n.unionByName(w).unionByName(r).selectExpr("kind", "id", "body", tags_text())
+    return entity_texts(back)
+
+
+@query(f"SELECT count(*) AS entities, bit_xor(CAST('0x' || substr(md5(kind || '|' || id || '|' || body || '|' || tags), 1, 15) AS BIGINT)) AS hash FROM ({_TEXTS})")
+def content_hash(ds: Dataset) -> DataFrame:
+    return fingerprint(ds)
+
+
+@query()
+def geojson_relations(ds: Dataset) -> DataFrame:
+    own = "struct<geometry:struct<type:string,coordinates:string>>"
+    return geojson.relation_features(ds).select("id", F.from_json("feature", own).alias("f"), F.sha2("feature", 256).alias("feature_sha256")).select("id", F.col("f.geometry.type").alias("geometry"), F.length("f.geometry.coordinates").alias("n_chars"), "feature_sha256")
 
 
 @query(f"""{POINTS}, s AS (SELECT way_id, count(*) AS points, CAST(sum(CAST(lon_e7 AS BIGINT) * i) AS BIGINT) AS lon, CAST(sum(CAST(lat_e7 AS BIGINT) * i) AS BIGINT) AS lat FROM p GROUP BY way_id)

@@ -322,3 +322,23 @@ def layer_pois(ds: Dataset) -> DataFrame:
 def layer_places(ds: Dataset) -> DataFrame:
     p = ds.nodes.withColumns({"kind": layers.kinds(F.col("tags"))["places"], "p": layers.properties(F.col("tags"), "places")})
     return p.where("kind is not null").select("id", "kind", F.col("p")["name"].alias("name"), F.col("p")["population"].alias("population"))
+
+
+@query(f"""{CLOSURE}{BOXES} SELECT root AS relation_id FROM c JOIN b ON type = 'way' AND way_id = ref GROUP BY root HAVING min(west) <= 74120000 AND max(east) >= 74100000 AND min(south) <= 437270000 AND max(north) >= 437250000""")
+def relations_bbox_intersects(ds: Dataset) -> DataFrame:
+    return spatial.boxes_meeting(joins.relation_boxes(ds), (7.41, 43.725, 7.412, 43.727)).select("relation_id")
+
+
+_VIEW = "SELECT way_id FROM b WHERE west <= {2} AND east >= {0} AND south <= {3} AND north >= {1}"
+
+
+@query(f"{BOXES} {_VIEW.format(74010000, 437250000, 74020000, 437270000)} UNION {_VIEW.format(74015000, 437260000, 74030000, 437300000)}")
+def viewport_ways(ds: Dataset) -> DataFrame:
+    """Ways that meet any of a viewport's boxes, each once."""
+    return spatial.boxes_meeting_any(joins.way_boxes(ds), [(7.401, 43.725, 7.402, 43.727), (7.4015, 43.726, 7.403, 43.73)]).select("way_id")
+
+
+@query(f"""{IN}, iw AS (SELECT id, CAST(count(*) AS INTEGER) AS parts FROM (SELECT id, unnest(refs) AS ref FROM ways WHERE tags['highway'] = 'primary') x WHERE ref IN (SELECT id FROM i) GROUP BY id)
+SELECT 'node' AS kind, id, 0 AS parts FROM i UNION ALL SELECT 'way', id, parts FROM iw UNION ALL SELECT 'relation', id, CAST(count(*) AS INTEGER) FROM (SELECT id, unnest(members, max_depth := 2) FROM relations WHERE tags['name'] IS NOT NULL AND id % 2 = 0) m WHERE type = 'way' AND ref IN (SELECT id FROM iw) GROUP BY id""")
+def ingest_filter(ds: Dataset) -> DataFrame:
+    return _summary(extract.ingest(ds, BOX, {"ways": [("highway", "primary")], "relations": [("name", None)]}, {"relations": F.col("id") % 2 == 0}))

@@ -37,6 +37,29 @@ def change_stats(base: Dataset, patch: Dataset) -> DataFrame:
     return change.change_stats(change.direct_changes(base, patch))
 
 
+@query(f"""{CHANGES}, n AS (SELECT 0 AS i, 'total changes' AS label, count(*) AS n FROM changes UNION ALL SELECT CASE entity_type WHEN 'node' THEN 1 WHEN 'way' THEN 2 ELSE 3 END, entity_type || ' changes', count(*) FROM changes GROUP BY entity_type)
+SELECT 'Changeset summary: ' || string_agg(' ' || label || ': ' || format('{{:,}}', n), ', ' ORDER BY n DESC, i) AS summary FROM n""", VERSIONS)
+@versions
+def change_summary(base: Dataset, patch: Dataset) -> DataFrame:
+    return change.change_summary(change.change_stats(change.direct_changes(base, patch)))
+
+
+_DELETED = "id % 5 = 0 AND (id % 4 <> 0 OR id % 3 = 0)"
+
+
+@query(f"""SELECT 'node' AS entity_type, id, CASE WHEN {_DELETED} AND id % 25 = 0 THEN 'create' WHEN {_DELETED} THEN 'delete' WHEN id % 4 = 0 THEN 'create' ELSE 'modify' END AS change_type,
+CASE WHEN {_DELETED} AND id % 25 = 0 THEN 'c' || id WHEN {_DELETED} THEN CASE WHEN id % 4 <> 0 THEN 'base' || id END WHEN id % 2 = 0 THEN 'b' || id ELSE 'a' || id END AS body,
+CASE WHEN id % 4 <> 0 AND NOT ({_DELETED} AND id % 25 = 0) THEN 'base' || id END AS old_body FROM nodes WHERE id % 3 = 0 OR {_DELETED}""")
+def changeset_fold(ds: Dataset) -> DataFrame:
+    """Up to four edits of each node in turn, over a base without every fourth node."""
+    i, kind = F.col("id"), F.lit("node").alias("entity_type")
+    base = ds.nodes.where(i % 4 != 0).select(kind, "id", F.concat(F.lit("base"), i).alias("body"))
+    edit = lambda seq, rows, op, mark: ds.nodes.where(rows).select(F.lit(seq).alias("seq"), kind, "id", op.alias("op"), (F.concat(F.lit(mark), i) if mark else F.lit(None).cast("string")).alias("body"))
+    edits = edit(1, "id % 3 = 0", F.when(i % 4 == 0, "create").otherwise("modify"), "a").unionByName(edit(2, "id % 6 = 0", F.lit("modify"), "b"))
+    edits = edits.unionByName(edit(3, _DELETED, F.lit("delete"), None)).unionByName(edit(4, f"{_DELETED} AND id % 25 = 0", F.lit("create"), "c"))
+    return change.fold(base, edits)
+
+
 @query(f"{CHANGES} SELECT entity_type, id, change_type FROM changes WHERE change_type = 'modify' ORDER BY CASE entity_type WHEN 'node' THEN 0 WHEN 'way' THEN 1 ELSE 2 END, id LIMIT 50 OFFSET 100", VERSIONS)
 @versions
 def change_page(base: Dataset, patch: Dataset) -> DataFrame:
@@ -94,10 +117,22 @@ def _tag_xml(c: str) -> str:
     return f"array_to_string(list_sort(['<tag k=\"' || {esc('e.key')} || '\" v=\"' || {esc('e.value')} || '\"/>' for e in map_entries({c})]), '')"
 
 
-@query(f"""{CHANGES}, x AS (SELECT 'node' AS entity_type, id, '<node id="' || id || '" lat="' || printf('%.7f', lat_e7 / 1e7) || '" lon="' || printf('%.7f', lon_e7 / 1e7) || '">' || {_tag_xml('tags')} || '</node>' AS xml FROM patch_nodes
-UNION ALL SELECT 'way', id, '<way id="' || id || '">' || array_to_string(['<nd ref="' || r || '"/>' for r in refs], '') || {_tag_xml('tags')} || '</way>' FROM patch_ways
-UNION ALL SELECT 'relation', id, '<relation id="' || id || '">' || array_to_string(['<member type="' || m.type || '" ref="' || m.ref || '" role="' || m.role || '"/>' for m in members], '') || {_tag_xml('tags')} || '</relation>' FROM patch_relations)
+def _xml(v: str) -> str:
+    return f"""SELECT 'node' AS entity_type, id, '<node id="' || id || '" lat="' || printf('%.7f', lat_e7 / 1e7) || '" lon="' || printf('%.7f', lon_e7 / 1e7) || '">' || {_tag_xml('tags')} || '</node>' AS xml FROM {v}_nodes
+UNION ALL SELECT 'way', id, '<way id="' || id || '">' || array_to_string(['<nd ref="' || r || '"/>' for r in refs], '') || {_tag_xml('tags')} || '</way>' FROM {v}_ways
+UNION ALL SELECT 'relation', id, '<relation id="' || id || '">' || array_to_string(['<member type="' || m.type || '" ref="' || m.ref || '" role="' || m.role || '"/>' for m in members], '') || {_tag_xml('tags')} || '</relation>' FROM {v}_relations"""
+
+
+@query(f"""{CHANGES}, x AS ({_xml('patch')})
 SELECT change_type AS section, id, xml FROM changes JOIN x USING (entity_type, id)""", VERSIONS)
 @versions
 def osc_xml(base: Dataset, patch: Dataset) -> DataFrame:
     return change.osc_rows(base, patch, change.direct_changes(base, patch)).select("section", "id", "xml")
+
+
+@query(f"""{CHANGES}, x AS ({_xml('patch')}), y AS ({_xml('base')}) SELECT change_type AS section, id, CASE change_type WHEN 'create' THEN x.xml ELSE '<old>' || y.xml || '</old><new>' || x.xml || '</new>' END AS xml FROM changes JOIN x USING (entity_type, id) LEFT JOIN y USING (entity_type, id)
+UNION ALL SELECT 'delete', id, '<old>' || y.xml || '</old>' FROM y WHERE (entity_type, id) NOT IN (SELECT (entity_type, id) FROM x)""", VERSIONS)
+@versions
+def osc_augmented(base: Dataset, patch: Dataset) -> DataFrame:
+    every = change.direct_changes(base, patch).unionByName(change.deletions(base, patch))
+    return change.osc_rows(base, patch, every, augmented=True).select("section", "id", "xml")

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraframe.functions import layers
-from terraframe.functions import tags as T
-from terraframe.model import Dataset
-from terraframe.operators import geometry, graph, joins, tiles
+from terraframe.model import Dataset, checkpointed
+from terraframe.operators import geometry, graph, tiles
 from terraframe.plans.base import query
 from terraframe.plans.lookup import BOXES, CLOSURE
 
@@ -19,11 +18,14 @@ len AS (SELECT seg.*, 2 * 6371008.8 * atan2(sqrt(s), sqrt(1 - s)) AS meters FROM
 edge AS (SELECT a AS src, b AS dst, way_id, seq, round(meters, 1) AS distance, round(meters / (kph / 3.6), 1) AS seconds FROM len UNION ALL SELECT b, a, way_id, seq, round(meters, 1), round(meters / (kph / 3.6), 1) FROM len WHERE NOT one_way)"""
 
 
-@query(f"{ROADS} SELECT src, dst, way_id, CAST(seq AS INTEGER) AS seq, distance FROM edge")
+_FLOAT = "round(CAST(CAST({} AS FLOAT) AS DOUBLE), 1)"
+_EDGE = f"way_id, CAST(seq AS INTEGER) AS seq, {_FLOAT.format('meters')} AS distance, {_FLOAT.format('meters / (kph / 3.6)')} AS time FROM len"
+
+
+@query(f"{ROADS} SELECT a AS src, b AS dst, {_EDGE} UNION ALL SELECT b, a, {_EDGE} WHERE NOT one_way")
 def edges(ds: Dataset) -> DataFrame:
-    e = graph.edges(ds)
-    exact = joins.segment_length(joins.segments(ds, ds.ways.where(T.vehicle_way(F.col("tags"))))).select("way_id", F.col("pos").alias("seq"), F.round("meters", 1).alias("meters"))
-    return e.join(exact, ["way_id", "seq"]).select("src", "dst", "way_id", "seq", F.col("meters").alias("distance"))
+    exact = lambda c: F.round(F.col(c).cast("double"), 1).alias(c)
+    return graph.edges(ds).select("src", "dst", "way_id", "seq", exact("distance"), exact("time"))
 
 
 @query(f"{ROADS} SELECT src % 100 AS bucket, count(*) AS n, round(sum(distance) / 1000) AS km FROM edge GROUP BY 1")
@@ -62,8 +64,8 @@ def _queries(ds: Dataset) -> DataFrame:
     return ds.nodes.sparkSession.createDataFrame([(i, 10 + i, 150 - 7 * i) for i in range(8)], "query long, start long, goal long")
 
 
-_SSSP = """, ways_of AS MATERIALIZED (SELECT src, dst, min(CAST(floor(CAST(CAST(meters AS FLOAT) AS DOUBLE) * 1000 + 0.5) AS BIGINT)) AS w FROM (SELECT a AS src, b AS dst, meters FROM len UNION ALL SELECT b, a, meters FROM len WHERE NOT one_way) GROUP BY src, dst),
-best(node, cost) USING KEY (node) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT w.dst, min(best.cost + w.w) FROM best JOIN ways_of w ON w.src = best.node LEFT JOIN recurring.best r ON r.node = w.dst WHERE r.cost IS NULL OR best.cost + w.w < r.cost GROUP BY w.dst)"""
+_HOPS = """, ways_of AS MATERIALIZED (SELECT src, dst, min(CAST(floor(CAST(CAST(meters AS FLOAT) AS DOUBLE) * 1000 + 0.5) AS BIGINT)) AS w FROM (SELECT a AS src, b AS dst, meters FROM len UNION ALL SELECT b, a, meters FROM len WHERE NOT one_way) GROUP BY src, dst)"""
+_SSSP = f"""{_HOPS}, best(node, cost) USING KEY (node) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT w.dst, min(best.cost + w.w) FROM best JOIN ways_of w ON w.src = best.node LEFT JOIN recurring.best r ON r.node = w.dst WHERE r.cost IS NULL OR best.cost + w.w < r.cost GROUP BY w.dst)"""
 
 
 @query(f"{ROADS}{_SSSP} SELECT node, cost FROM best")
@@ -81,6 +83,31 @@ for _a in graph.ALGORITHMS:
     _paths(_a)
 
 
+_Q = ", ".join(f"({i}, {10 + i}, {150 - 7 * i})" for i in range(8))
+_MANY = f"""{_HOPS}, q AS (SELECT CAST(query AS BIGINT) AS query, CAST(start AS BIGINT) AS start, CAST(goal AS BIGINT) AS goal FROM (VALUES {_Q}) v(query, start, goal)),
+best(query, node, cost) USING KEY (query, node) AS (SELECT query, start, CAST(0 AS BIGINT) FROM q UNION SELECT best.query, w.dst, min(best.cost + w.w) FROM best JOIN ways_of w ON w.src = best.node LEFT JOIN recurring.best r ON r.node = w.dst AND r.query = best.query WHERE r.cost IS NULL OR best.cost + w.w < r.cost GROUP BY best.query, w.dst)"""
+
+
+@query(f"{ROADS}{_MANY} SELECT query, round(cost / 1000) AS meters FROM best JOIN q USING (query) WHERE node = goal")
+def route_stats(ds: Dataset) -> DataFrame:
+    """Metres of least paths, added up from the edges that their steps take."""
+    e = checkpointed(graph.edges(ds))
+    return graph.statistics(graph.route(ds, e, _queries(ds), "dijkstra"), e).select("query", F.round("distance").alias("meters"))
+
+
+@query()
+def route_info(ds: Dataset) -> DataFrame:
+    e = checkpointed(graph.edges(ds))
+    out = graph.route_info(graph.route(ds, e, _queries(ds), "dijkstra"), e, ds.ways)
+    return out.select("query", "segment", "name", "highway", F.array_join(F.transform("way_ids", lambda x: x.cast("string")), ",").alias("way_ids"), F.round("distance", 1).alias("distance"), F.round("time", 1).alias("time"), "turn")
+
+
+@query()
+def route_marks(ds: Dataset) -> DataFrame:
+    e = checkpointed(graph.edges(ds))
+    return graph.marked_nodes(graph.route(ds, e, _queries(ds), "dijkstra"), graph.routable(ds).where("occurrences >= 2"))
+
+
 @query()
 def route_segments(ds: Dataset) -> DataFrame:
     return graph.route_segments(graph.route(ds, graph.edges(ds), _queries(ds), "astar", "time"), ds.ways)

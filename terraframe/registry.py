@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terraframe.plans import base, formats, lookup, merge, roads
+from terraframe.plans import base, display, formats, lookup, merge, roads
 
-MODULES = (formats, lookup, merge, roads)
+MODULES = (display, formats, lookup, merge, roads)
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
 FLAGSHIP = "edge_totals"

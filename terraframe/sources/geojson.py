@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraframe.functions.text import feature_id
@@ -75,3 +75,37 @@ def features(ds: Dataset) -> DataFrame:
     area = T.is_area(F.col("refs"), F.col("tags"))
     w = lines.select(F.lit("way").alias("kind"), "id", F.when(area, text("way", F.lit("Polygon"), F.array("c"))).otherwise(text("way", F.lit("LineString"), F.col("c"))).alias("feature"))
     return n.unionByName(w)
+
+
+def relation_features(ds: Dataset) -> DataFrame:
+    """(kind, id, feature): relations as GeoJSON text. Areas are polygons, lines and points what they are, Multi unless there
+    is one part, and empty without any; other relations are empty collections."""
+    from terraframe.functions import tags as T
+    from terraframe.operators import geometry
+
+    at = ds.nodes.select(F.col("id").alias("ref"), F.array(F.col("lon_e7") / 1e7, F.col("lat_e7") / 1e7).alias("c"))
+
+    def gathered(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("x")).select(*keys, F.transform("x", lambda x: x[value]).alias("c"))
+
+    def drawn(df: DataFrame, keys: list[str]) -> DataFrame:
+        return gathered(df.select(*keys, F.posexplode("refs").alias("pos", "ref")).join(at, "ref"), keys, "pos", "c")
+
+    polygons = gathered(gathered(drawn(geometry.rings(ds), ["relation_id", "polygon", "ring"]), ["relation_id", "polygon"], "ring", "c"), ["relation_id"], "polygon", "c")
+    lines = gathered(drawn(geometry.lines(ds), ["relation_id", "line"]), ["relation_id"], "line", "c")
+    points = gathered(joins.members(ds).where("type = 'node'").join(at, "ref"), ["relation_id"], "pos", "c")
+    r = ds.relations.withColumn("kind", T.relation_kind(F.col("tags"), F.col("members")))
+    for name, df in (("polygons", polygons), ("lines", lines), ("points", points)):
+        r = r.join(df.select(F.col("relation_id").alias("id"), F.col("c").alias(name)), "id", "left")
+
+    def text(kind: str, **parts: Column) -> Column:
+        body = F.struct(F.lit(kind).alias("type"), *[c.alias(k) for k, c in parts.items()])
+        return F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("id"), body.alias("geometry"), F.col("tags").alias("properties")))
+
+    def parts(name: str, single: str) -> Column:
+        none = F.array().cast("array<string>")
+        return F.when(F.col(name).isNull(), text(f"Multi{single}", coordinates=none)).when(F.size(name) == 1, text(single, coordinates=F.get(name, F.lit(0)))).otherwise(text(f"Multi{single}", coordinates=F.col(name)))
+
+    kind = F.col("kind")
+    feature = F.when(kind == "area", parts("polygons", "Polygon")).when(kind == "line", parts("lines", "LineString")).when(kind == "point", parts("points", "Point")).otherwise(text("GeometryCollection", geometries=F.array().cast("array<string>")))
+    return r.select(F.lit("relation").alias("kind"), "id", feature.alias("feature"))

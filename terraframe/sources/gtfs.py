@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+import zipfile
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +78,44 @@ def to_dataset(stops: DataFrame, routes: DataFrame, trips: DataFrame, shapes: Da
     return Dataset(numbered.select("id", "lon_e7", "lat_e7", "tags"), ways.select((-F.col("id")).alias("id"), "refs", "tags"), spark.createDataFrame([], "id long, members array<struct<type:string,ref:long,role:string>>, tags map<string,string>"))
 
 
-def read(spark: SparkSession, folder: str) -> Dataset:
-    """A feed unpacked into a folder that all executors reach; a missing shapes.txt raises."""
-    t = lambda name: read_table(spark, folder, name)
+def is_feed(names: list[str]) -> bool:
+    """Whether an archive's files include all that a feed needs."""
+    return set(NEEDED) <= {n.rsplit("/", 1)[-1] for n in names}
+
+
+def zip_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of an archive's files; they are few."""
+
+    def names(batches):
+        for b in batches:
+            for content in b.column(0):
+                yield pa.RecordBatch.from_pydict({"name": zipfile.ZipFile(io.BytesIO(content.as_py())).namelist()}, schema=pa.schema([("name", pa.string())]))
+
+    return [r["name"] for r in spark.read.format("binaryFile").load(path).select("content").mapInArrow(names, "name string").collect()]
+
+
+def read_zip_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of a feed in an archive, read on an executor line by line; all columns are text. A missing table raises."""
+
+    def rows(batches):
+        schema = pa.schema([("n", pa.int64()), ("row", pa.list_(pa.string()))])
+        for b in batches:
+            for content in b.column(0):
+                archive = zipfile.ZipFile(io.BytesIO(content.as_py()))
+                member = next((n for n in archive.namelist() if n.rsplit("/", 1)[-1] == name), None)
+                if member is None:
+                    raise ValueError(f"the feed has no {name}")
+                with archive.open(member) as f:
+                    lines = enumerate(csv.reader(io.TextIOWrapper(f, "utf-8-sig", newline="")))
+                    while part := list(itertools.islice(lines, 10_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.int64()), pa.array([r for _, r in part], pa.list_(pa.string()))], schema=schema)
+
+    df = spark.read.format("binaryFile").load(path).select("content").mapInArrow(rows, "n long, row array<string>")
+    header = df.where("n = 0").first()
+    return df.where("n > 0 and size(row) > 0").select(*[F.get("row", F.lit(i)).alias(c.strip()) for i, c in enumerate(header["row"] if header else [])])
+
+
+def read(spark: SparkSession, path: str) -> Dataset:
+    """A feed in an archive, or unpacked into a folder that all executors reach; a missing shapes.txt raises."""
+    t = lambda name: (read_zip_table if path.lower().endswith(".zip") else read_table)(spark, path, name)
     return to_dataset(t("stops.txt"), t("routes.txt"), t("trips.txt"), t("shapes.txt"))

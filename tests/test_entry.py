@@ -12,7 +12,7 @@ def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["bbox_nodes", "relation_closure", "direct_changes", "way_dedup", "tile_feature_counts", "layer_mask", "knn_ways", "layer_features", "route_sssp", "pbf_round_trip", "gtfs_feed"])
+@pytest.mark.parametrize("name", ["bbox_nodes", "relation_closure", "direct_changes", "way_dedup", "tile_feature_counts", "layer_mask", "knn_ways", "layer_features", "route_sssp", "pbf_round_trip", "gtfs_feed", "edges", "route_stats", "changeset_fold", "osc_augmented", "ingest_filter", "line_labels", "line_anchors", "composite_pixels", "world_positions"])
 def test_against_duckdb(spark, sf, name):
     import duckdb
 
