@@ -78,14 +78,15 @@ def cells(x: Column, y: Column, width: int, height: int) -> Column:
 
 def node_pairs_within(left: DataFrame, right: DataFrame, meters: float, max_lat: float = 85.0) -> DataFrame:
     """(a, b, meters) with a < b: pairs of nodes of left and right within a distance. An equi-join on grid cells as large as
-    the distance; max_lat bounds how far apart two nodes' longitudes can be."""
+    the distance; max_lat bounds how far apart two nodes' longitudes can be. Neither side is broadcast: an estimate from the
+    size of compressed files doesn't tell how many nodes there are, nor that each has nine cells."""
     unit = 1e7 / (math.pi * geo.EARTH_RADIUS_M / 180)
     height = math.ceil(meters * unit * 1.01)
     width = math.ceil(height / math.cos(math.radians(max_lat)))
     a = left.select(F.col("id").alias("a"), F.col("lon_e7").alias("ax"), F.col("lat_e7").alias("ay"), F.explode(cells(F.col("lon_e7"), F.col("lat_e7"), width, height)).alias("cell"))
     b = right.select(F.col("id").alias("b"), F.col("lon_e7").alias("bx"), F.col("lat_e7").alias("by"), F.struct(F.floor(F.col("lon_e7") / width).alias("cx"), F.floor(F.col("lat_e7") / height).alias("cy")).alias("cell"))
     d = geo.haversine_m(*(F.col(c) / 1e7 for c in ("ax", "ay", "bx", "by")))
-    pairs = a.join(b, "cell").where("a <> b").withColumn("meters", d).where(F.col("meters") <= meters)
+    pairs = a.join(b.hint("merge"), "cell").where("a <> b").withColumn("meters", d).where(F.col("meters") <= meters)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "meters").dropDuplicates(["a", "b"])
 
 
