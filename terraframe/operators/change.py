@@ -105,7 +105,8 @@ def node_replacements(ds: Dataset, meters: float = 1.0) -> DataFrame:
     with more tags, then with the larger id; a node with several winners takes the best of them, and chains are followed
     to their end."""
     pairs = spatial.node_pairs_within(ds.nodes, ds.nodes, meters)
-    rank = ds.nodes.select("id", F.struct(T.version(F.col("tags")).alias("v"), F.size("tags").alias("n"), F.col("id").alias("i")).alias("r"))
+    # all nodes again, so not broadcast
+    rank = ds.nodes.select("id", F.struct(T.version(F.col("tags")).alias("v"), F.size("tags").alias("n"), F.col("id").alias("i")).alias("r")).hint("merge")
     both = pairs.join(rank.select(F.col("id").alias("a"), F.col("r").alias("ra")), "a").join(rank.select(F.col("id").alias("b"), F.col("r").alias("rb")), "b")
     step = both.groupBy(F.least("ra", "rb")["i"].alias("id")).agg(F.max(F.greatest("ra", "rb"))["i"].alias("keep"))
     return resolve(step)

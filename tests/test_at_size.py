@@ -11,3 +11,8 @@ def plan(df):
 def test_nodes_are_not_broadcast(spark, sf):
     nodes = tables.nodes(spark, sf)
     assert "Broadcast" not in plan(spatial.node_pairs_within(nodes, nodes, 1.0))
+
+
+def test_ranks_are_not_broadcast(spark, sf, monkeypatch):
+    monkeypatch.setattr(change, "resolve", lambda step: step)
+    assert "Broadcast" not in plan(change.node_replacements(tables.dataset(spark, sf)))
