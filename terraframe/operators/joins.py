@@ -13,9 +13,10 @@ MAX_DEPTH = 10
 
 def way_points(ds: Dataset, ways: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """(way_id, pos, ref, lon_e7, lat_e7): the ways' references with their nodes' coordinates. References without a node
-    go; with strict they stay, with null coordinates. Large references are joined by a shuffle on the node id."""
+    go; with strict they stay, with null coordinates. References are joined by a shuffle on the node id: the size of
+    compressed files doesn't tell whether all nodes can be broadcast."""
     refs = (ds.ways if ways is None else ways).select(F.col("id").alias("way_id"), F.posexplode("refs").alias("pos", "ref"))
-    points = ds.nodes.select(F.col("id").alias("ref"), "lon_e7", "lat_e7")
+    points = ds.nodes.select(F.col("id").alias("ref"), "lon_e7", "lat_e7").hint("merge")
     return refs.join(points, "ref", "left" if strict else "inner").select("way_id", "pos", "ref", "lon_e7", "lat_e7")
 
 
@@ -85,12 +86,12 @@ def relation_points(ds: Dataset) -> DataFrame:
 def segments(ds: Dataset, ways: DataFrame | None = None, **carried: Column) -> DataFrame:
     """(way_id, pos, a, b, coordinates of both, carried): neighbouring references with their coordinates; segments with a
     missing end go. Both ends come from one pass over the references; carried columns of the way come along, so that no join
-    has to fetch them."""
+    has to fetch them. As in way_points, nodes aren't broadcast."""
     w = (ds.ways if ways is None else ways).select(F.col("id").alias("way_id"), *[c.alias(k) for k, c in carried.items()], F.posexplode(F.arrays_zip(F.col("refs").alias("a"), F.slice("refs", F.lit(2), F.size("refs")).alias("b"))).alias("pos", "s")).select("way_id", "pos", F.col("s.a").alias("a"), F.col("s.b").alias("b"), *carried).where("b is not null")
     n = ds.nodes
     a = n.select(F.col("id").alias("a"), F.col("lon_e7").alias("ax"), F.col("lat_e7").alias("ay"))
     b = n.select(F.col("id").alias("b"), F.col("lon_e7").alias("bx"), F.col("lat_e7").alias("by"))
-    return w.join(a, "a").join(b, "b").select("way_id", "pos", "a", "b", "ax", "ay", "bx", "by", *carried)
+    return w.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("way_id", "pos", "a", "b", "ax", "ay", "bx", "by", *carried)
 
 
 def segment_length(s: DataFrame) -> DataFrame:

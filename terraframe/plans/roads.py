@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraframe.functions import layers
-from terraframe.model import Dataset, checkpointed
+from terraframe.model import Dataset
 from terraframe.operators import geometry, graph, tiles
 from terraframe.plans.base import query
 from terraframe.plans.lookup import BOXES, CLOSURE
@@ -91,20 +91,20 @@ best(query, node, cost) USING KEY (query, node) AS (SELECT query, start, CAST(0
 @query(f"{ROADS}{_MANY} SELECT query, round(cost / 1000) AS meters FROM best JOIN q USING (query) WHERE node = goal")
 def route_stats(ds: Dataset) -> DataFrame:
     """Metres of least paths, added up from the edges that their steps take."""
-    e = checkpointed(graph.edges(ds))
+    e = graph.edges(ds)
     return graph.statistics(graph.route(ds, e, _queries(ds), "dijkstra"), e).select("query", F.round("distance").alias("meters"))
 
 
 @query()
 def route_info(ds: Dataset) -> DataFrame:
-    e = checkpointed(graph.edges(ds))
+    e = graph.edges(ds)
     out = graph.route_info(graph.route(ds, e, _queries(ds), "dijkstra"), e, ds.ways)
     return out.select("query", "segment", "name", "highway", F.array_join(F.transform("way_ids", lambda x: x.cast("string")), ",").alias("way_ids"), F.round("distance", 1).alias("distance"), F.round("time", 1).alias("time"), "turn")
 
 
 @query()
 def route_marks(ds: Dataset) -> DataFrame:
-    e = checkpointed(graph.edges(ds))
+    e = graph.edges(ds)
     return graph.marked_nodes(graph.route(ds, e, _queries(ds), "dijkstra"), graph.routable(ds).where("occurrences >= 2"))
 
 

@@ -1,6 +1,9 @@
 """What whole tables need: no driver or task holds all of a map."""
 
-from terraframe.operators import change, spatial
+import pytest
+
+from terraframe import model
+from terraframe.operators import change, graph, spatial
 from terraframe.sources import tables
 
 
@@ -16,3 +19,29 @@ def test_nodes_are_not_broadcast(spark, sf):
 def test_ranks_are_not_broadcast(spark, sf, monkeypatch):
     monkeypatch.setattr(change, "resolve", lambda step: step)
     assert "Broadcast" not in plan(change.node_replacements(tables.dataset(spark, sf)))
+
+
+@pytest.mark.parametrize("algorithm", graph.ALGORITHMS)
+def test_paths_without_the_graph_in_one_place(spark, sf, algorithm, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_EDGES", 10, raising=False)
+    monkeypatch.setattr(graph, "HELD", 3, raising=False)
+    ds = tables.dataset(spark, sf)
+    e = model.checkpointed(graph.edges(ds))
+    adjacency = {}
+    for r in sorted(e.collect(), key=lambda r: (r["src"], r["dst"], r["way_id"])):
+        adjacency.setdefault(r["src"], []).append((r["dst"], r["way_id"], float(r["distance"])))
+    queries = [(7, 10, 150), (7, 11, 11), (8, 12, 136), (9, 5, 10**9)]
+    got = graph.route(ds, e, spark.createDataFrame(queries, "query long, start long, goal long"), algorithm).orderBy("query", "seq").collect()
+    for query, start, goal in queries[2:]:
+        path = [(r["node"], r["way"], r["prev"], r["cost"]) for r in got if r["query"] == query]
+        want = (graph.meeting if algorithm == "bidirectional" else graph.search)(adjacency, start, goal) or []
+        assert path == want if algorithm == "bidirectional" else [p[3] for p in path[-1:]] == [p[3] for p in want[-1:]]
+        assert [p[2] for p in path[1:]] == [p[0] for p in path[:-1]]
+    assert sum(r["query"] == 7 and r["node"] == 11 and r["cost"] == 0 and r["seq"] == 0 for r in got) == 1
+
+
+def test_edges_do_not_broadcast_nodes(spark, sf):
+    ds = tables.dataset(spark, sf)
+    ways = ds.ways.limit(10)
+    ways = model.Dataset(ds.nodes, model.checkpointed(ways), ds.relations)
+    assert "Broadcast" not in plan(graph.edges(ways))
