@@ -158,21 +158,46 @@ def _value(v) -> bytes:
     return _field(1, str(v).encode())
 
 
-def encode_layer(name: str, items: list[dict], extent: int = EXTENT) -> bytes:
-    """One layer; items have id, kind (1 point, 2 line, 3 polygon), parts of points, and properties."""
-    keys: dict[str, int] = {}
-    values: dict[tuple, int] = {}
-    body = b""
-    for f in items:
+class Layer:
+    """One layer, written feature by feature."""
+
+    def __init__(self, name: str, extent: int = EXTENT):
+        self.name, self.extent, self.count = name, extent, 0
+        self.keys: dict[str, int] = {}
+        self.values: dict[tuple, int] = {}
+        self.body = bytearray()
+
+    def add(self, i: int, kind: int, properties: dict, shape: bytes) -> None:
+        """A feature; kind is 1 point, 2 line, 3 polygon, shape its commands."""
         tags = b""
-        for k, v in f["properties"].items():
+        for k, v in properties.items():
             if v is None:
                 continue
-            tags += _varint(keys.setdefault(k, len(keys))) + _varint(values.setdefault((type(v).__name__, v), len(values)))
-        commands = b"".join(map(_varint, _commands(f["parts"], f["kind"])))
-        body += _field(2, _varint(1 << 3) + _varint(_zig(f["id"]) & (1 << 64) - 1) + _field(2, tags) + _varint(3 << 3) + _varint(f["kind"]) + _field(4, commands))
-    head = _varint(15 << 3) + _varint(2) + _field(1, name.encode())
-    return head + body + b"".join(_field(3, k.encode()) for k in keys) + b"".join(_field(4, _value(v)) for _, v in values) + _varint(5 << 3) + _varint(extent)
+            tags += _varint(self.keys.setdefault(k, len(self.keys))) + _varint(self.values.setdefault((type(v).__name__, v), len(self.values)))
+        self.body += _field(2, _varint(1 << 3) + _varint(_zig(i) & (1 << 64) - 1) + _field(2, tags) + _varint(3 << 3) + _varint(kind) + _field(4, shape))
+        self.count += 1
+
+    def parts(self) -> list[bytes | bytearray]:
+        head = _varint(15 << 3) + _varint(2) + _field(1, self.name.encode())
+        rest = bytearray()
+        for k in self.keys:
+            rest += _field(3, k.encode())
+        for _, v in self.values:
+            rest += _field(4, _value(v))
+        return [head, self.body, rest + _varint(5 << 3) + _varint(self.extent)]
+
+    def chunks(self) -> list[bytes | bytearray]:
+        """The layer as a field of a tile; nothing without features."""
+        parts = self.parts()
+        return [_varint(3 << 3 | 2) + _varint(sum(map(len, parts))), *parts] if self.count else []
+
+
+def encode_layer(name: str, items: list[dict], extent: int = EXTENT) -> bytes:
+    """One layer; items have id, kind (1 point, 2 line, 3 polygon), parts of points, and properties."""
+    layer = Layer(name, extent)
+    for f in items:
+        layer.add(f["id"], f["kind"], f["properties"], b"".join(map(_varint, _commands(f["parts"], f["kind"]))))
+    return b"".join(layer.parts())
 
 
 def encode_tile(named: dict[str, list[dict]]) -> bytes:
@@ -249,7 +274,8 @@ def _polygon(rings: list[tuple[int, list]]) -> list[list[tuple[int, int]]]:
 
 def vector_tiles(ds: Dataset, zoom: int) -> DataFrame:
     """(z, x, y, features, tile): the bytes of each tile that holds something, with layers ways, nodes and relations. A
-    relation is a feature for each of its polygons and lines, and one for its points in the tile."""
+    relation is a feature for each of its polygons and lines, and one for its points in the tile. Features are drawn row by
+    row and sorted by tile; a task holds the bytes of the tile that it writes, not its features."""
     one = lambda c: F.array(F.struct(F.lit(0).alias("ring"), c.alias("line")))
     names = ["z", "x", "y", "layer", "id", "part", "kind", "tags", "lines"]
     n = node_tiles(ds.nodes.where(F.size("tags") > 0), zoom).select("z", "x", "y", F.lit("nodes").alias("layer"), "id", F.lit(0).alias("part"), F.lit(1).alias("kind"), "tags", one(F.array(F.struct("lon_e7", "lat_e7"))).alias("lines"))
@@ -259,44 +285,133 @@ def vector_tiles(ds: Dataset, zoom: int) -> DataFrame:
     w = box_tiles(lines.withColumns({"west": ends("lon_e7", F.array_min), "east": ends("lon_e7", F.array_max), "south": ends("lat_e7", F.array_min), "north": ends("lat_e7", F.array_max)}), zoom).select("z", "x", "y", F.lit("ways").alias("layer"), "id", F.lit(0).alias("part"), "kind", "tags", one(F.col("line")).alias("lines"))
     r = relation_tiles(ds, zoom).join(ds.relations.select("id", "tags"), "id").withColumn("layer", F.lit("relations")).select(*names)
 
-    def run(t: pa.Table) -> pa.Table:
-        z, x, y = (t.column(c)[0].as_py() for c in "zxy")
-        named: dict[str, list[dict]] = {"ways": [], "nodes": [], "relations": []}
-        for r in sorted(t.select(["layer", "id", "part", "kind", "tags", "lines"]).to_pylist(), key=lambda r: (r["kind"], r["id"], r["part"])):
-            lines = [(p["ring"], [_in_tile(q["lon_e7"], q["lat_e7"], z, x, y) for q in p["line"]]) for p in r["lines"]]
-            if r["kind"] == 1:
-                parts = [_rounded(points) for _, points in lines]
-            elif r["kind"] == 2:
-                parts = [p for _, points in lines for piece in clip_line(points, -BUFFER, EXTENT + BUFFER) if len(p := _rounded(piece)) >= 2]
-            else:
-                parts = _polygon(lines)
-            if parts:
-                named[r["layer"]].append({"id": r["id"], "kind": r["kind"], "parts": parts, "properties": dict(r["tags"] or ())})
-        count = sum(map(len, named.values()))
-        return pa.table({"z": pa.array([z], pa.int32()), "x": pa.array([x], pa.int32()), "y": pa.array([y], pa.int32()), "features": pa.array([count], pa.int64()), "tile": pa.array([encode_tile(named)], pa.binary())})
-
-    return n.unionByName(w).unionByName(r).groupBy("z", "x", "y").applyInArrow(run, "z int, x int, y int, features long, tile binary")
+    def draw(batches):
+        for b in batches:
+            shapes = []
+            for r in b.select(["z", "x", "y", "kind", "lines"]).to_pylist():
+                lines = [(p["ring"], [_in_tile(q["lon_e7"], q["lat_e7"], r["z"], r["x"], r["y"]) for q in p["line"]]) for p in r["lines"]]
+                if r["kind"] == 1:
+                    parts = [_rounded(points) for _, points in lines]
+                elif r["kind"] == 2:
+                    parts = [p for _, points in lines for piece in clip_line(points, -BUFFER, EXTENT + BUFFER) if len(p := _rounded(piece)) >= 2]
+                else:
+                    parts = _polygon(lines)
+                shapes.append(b"".join(map(_varint, _commands(parts, r["kind"]))) if parts else None)
+            kept = b.select(["z", "x", "y", "layer", "id", "part", "kind", "tags"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(shapes, pa.binary())], names=[*kept.schema.names, "shape"])
+
+    def join(batches):
+        at, open_layers = None, {}
+
+        def tile():
+            out = pa.array([b"".join(p for n in ("ways", "nodes", "relations") for p in open_layers[n].chunks())], pa.binary())
+            z, x, y = (pa.array([v], pa.int32()) for v in at)
+            return pa.RecordBatch.from_arrays([z, x, y, pa.array([sum(v.count for v in open_layers.values())], pa.int64()), out], names=["z", "x", "y", "features", "tile"])
+
+        for b in batches:
+            for z, x, y, layer, i, kind, tags, shape in zip(*(b.column(c).to_pylist() for c in ("z", "x", "y", "layer", "id", "kind", "tags", "shape"))):
+                if at != (z, x, y):
+                    if at is not None:
+                        yield tile()
+                    at, open_layers = (z, x, y), {n: Layer(n) for n in ("ways", "nodes", "relations")}
+                if shape is not None:
+                    open_layers[layer].add(i, kind, dict(tags or ()), shape)
+        if at is not None:
+            yield tile()
+
+    place = "z int, x int, y int"
+    drawn = n.unionByName(w).unionByName(r).mapInArrow(draw, f"{place}, layer string, id long, part int, kind int, tags map<string,string>, shape binary")
+    return drawn.repartition("z", "x", "y").sortWithinPartitions("z", "x", "y", "kind", "id", "part").mapInArrow(join, f"{place}, features long, tile binary")
 
 
 def raster_tiles(ds: Dataset, zoom: int, size: int = 256, color: tuple[int, int, int, int] = (60, 60, 60, 255)) -> DataFrame:
-    """(z, x, y, png): ways drawn as one-pixel lines on tiles of size pixels, as PNG."""
+    """(z, x, y, png): ways drawn as one-pixel lines on tiles of size pixels, as PNG. Each task draws its rows on tiles of its
+    own, in bits; those of all tasks are combined by an aggregate, so none gathers the lines of a tile."""
     lines = joins.way_lines(ds)
     ends = lambda c, f: f(F.transform("line", lambda p: p[c]))
     w = box_tiles(lines.withColumns({"west": ends("lon_e7", F.array_min), "east": ends("lon_e7", F.array_max), "south": ends("lat_e7", F.array_min), "north": ends("lat_e7", F.array_max)}), zoom).select("z", "x", "y", "line")
 
+    def draw(batches):
+        own: dict[tuple[int, int, int], np.ndarray] = {}
+        for b in batches:
+            for at, *segments in _segments(b, size):
+                _draw(own.setdefault(at, np.zeros((size, size), bool)), *segments)
+            if len(own) > OPEN_TILES:
+                yield words(own)
+                own = {}
+        yield words(own)
+
+    def words(own):
+        at, word, bits = [], [], []
+        for tile, drawn in own.items():
+            packed = np.packbits(np.pad(drawn.ravel(), (0, -drawn.size % 64)), bitorder="little").view("<i8")
+            used = np.union1d(np.flatnonzero(packed), [0])  # a tile without a pixel has its row, too
+            at += [tile] * len(used)
+            word.append(used)
+            bits.append(packed[used])
+        z, x, y = zip(*at) if at else ((), (), ())
+        flat = lambda a: np.concatenate([np.zeros(0, np.int64), *a])
+        return pa.RecordBatch.from_arrays([*(pa.array(v, pa.int32()) for v in (z, x, y)), pa.array(flat(word), pa.int32()), pa.array(flat(bits), pa.int64())], names=["z", "x", "y", "word", "bits"])
+
     def run(t: pa.Table) -> pa.Table:
         z, x, y = (t.column(c)[0].as_py() for c in "zxy")
+        packed = np.zeros(-(-size * size // 64), "<i8")
+        packed[t.column("word").to_numpy()] = t.column("bits").to_numpy()
         pixels = np.zeros((size, size, 4), np.uint8)
-        for line in t.column("line").to_pylist():
-            points = [tuple(v * size / EXTENT for v in _in_tile(p["lon_e7"], p["lat_e7"], z, x, y)) for p in line]
-            for piece in clip_line(points, 0, size - 1):
-                for (x0, y0), (x1, y1) in zip(piece, piece[1:]):
-                    n = int(max(abs(x1 - x0), abs(y1 - y0))) + 1
-                    xs, ys = np.linspace(x0, x1, n + 1), np.linspace(y0, y1, n + 1)
-                    pixels[np.clip(np.round(ys), 0, size - 1).astype(int), np.clip(np.round(xs), 0, size - 1).astype(int)] = color
+        pixels[np.unpackbits(packed.view(np.uint8), bitorder="little")[: size * size].reshape(size, size).astype(bool)] = color
         return pa.table({"z": pa.array([z], pa.int32()), "x": pa.array([x], pa.int32()), "y": pa.array([y], pa.int32()), "png": pa.array([png(pixels)], pa.binary())})
 
-    return w.groupBy("z", "x", "y").applyInArrow(run, "z int, x int, y int, png binary")
+    drawn = w.mapInArrow(draw, "z int, x int, y int, word int, bits long").groupBy("z", "x", "y", "word").agg(F.bit_or("bits").alias("bits"))
+    return drawn.groupBy("z", "x", "y").applyInArrow(run, "z int, x int, y int, png binary")
+
+
+#: Tiles that a task draws on at once, and pixels that it places at once.
+OPEN_TILES, PIXELS = 256, 1 << 20
+
+
+def _segments(b: pa.RecordBatch, size: int):
+    """(tile, x0, y0, x1, y1) for each tile of a batch (z, x, y, line): its lines' segments, in pixels, clipped as by clip_line."""
+    z, x, y = (b.column(c).to_numpy() for c in ("z", "x", "y"))
+    line = b.column("line")
+    count, points = line.value_lengths().to_numpy(), line.flatten()
+    row = np.repeat(np.arange(len(count)), count)
+    n = np.exp2(z)[row]
+    s = np.sin(np.radians(points.field("lat_e7").to_numpy() / 1e7))
+    px = ((points.field("lon_e7").to_numpy() / 1e7 + 180) / 360 * n - x[row]) * EXTENT * size / EXTENT
+    py = ((0.5 - np.log((1 + s) / (1 - s)) / (4 * math.pi)) * n - y[row]) * EXTENT * size / EXTENT
+    first = np.flatnonzero(row[1:] == row[:-1])
+    x0, y0, x1, y1, row = px[first], py[first], px[first + 1], py[first + 1], row[first]
+    dx, dy, lo, hi = x1 - x0, y1 - y0, 0, size - 1
+    a, e = np.zeros(len(row)), np.ones(len(row))
+    for p, q in ((-dx, x0 - lo), (dx, hi - x0), (-dy, y0 - lo), (dy, hi - y0)):
+        t = q / np.where(p == 0, 1, p)
+        a = np.where(p < 0, np.maximum(a, t), np.where((p == 0) & (q < 0), 2.0, a))
+        e = np.where(p > 0, np.minimum(e, t), e)
+    clipped = np.stack([x0 + a * dx, y0 + a * dy, x0 + e * dx, y0 + e * dy])
+    tiles, of = np.unique(np.stack([z, x, y], axis=1), axis=0, return_inverse=True)
+    of = np.where(a <= e, of.ravel()[row], -1)
+    for i, tile in enumerate(tiles.tolist()):
+        yield tuple(tile), *clipped[:, of == i]
+
+
+def _draw(drawn: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> None:
+    """Sets the pixels of segments. One whose box, and a pixel around it, is set already changes nothing and is left out."""
+    top = len(drawn) - 1
+    sums = np.pad(drawn.cumsum(0, dtype=np.int32).cumsum(1, dtype=np.int32), ((1, 0), (1, 0)))
+    edge = lambda v, more: np.clip(np.round(v) + more, 0, top).astype(int)
+    west, east, north, south = edge(np.minimum(x0, x1), -1), edge(np.maximum(x0, x1), 1) + 1, edge(np.minimum(y0, y1), -1), edge(np.maximum(y0, y1), 1) + 1
+    fresh = sums[south, east] - sums[north, east] - sums[south, west] + sums[north, west] < (east - west) * (south - north)
+    x0, y0, x1, y1 = x0[fresh], y0[fresh], x1[fresh], y1[fresh]
+    n = np.maximum(np.abs(x1 - x0), np.abs(y1 - y0)).astype(int) + 1
+    step = max(1, PIXELS // (top + 3))
+    for at in range(0, len(n), step):
+        part = slice(at, at + step)
+        of = np.repeat(np.arange(len(n[part])), n[part] + 1)
+        last = np.cumsum(n[part] + 1) - 1
+        i = np.arange(len(of)) - (last - n[part])[of]
+        xs, ys = ((i * ((q - p) / n[part])[of] + p[of]) for p, q in ((x0[part], x1[part]), (y0[part], y1[part])))
+        xs[last], ys[last] = x1[part], y1[part]
+        drawn[np.clip(np.round(ys), 0, top).astype(int), np.clip(np.round(xs), 0, top).astype(int)] = True
 
 
 def png(pixels: np.ndarray) -> bytes:

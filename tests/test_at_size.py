@@ -3,7 +3,7 @@
 import pytest
 
 from terraframe import model
-from terraframe.operators import change, graph, spatial
+from terraframe.operators import change, graph, spatial, tiles
 from terraframe.sources import tables
 
 
@@ -45,3 +45,11 @@ def test_edges_do_not_broadcast_nodes(spark, sf):
     ways = ds.ways.limit(10)
     ways = model.Dataset(ds.nodes, model.checkpointed(ways), ds.relations)
     assert "Broadcast" not in plan(graph.edges(ways))
+
+
+def test_no_task_gathers_the_lines_of_a_raster_tile(spark, sf):
+    df = tiles.raster_tiles(tables.dataset(spark, sf), 13)
+    assert "bit_or" in plan(df) and df.count() == 4
+    few = model.from_rows(spark, [(1, 7.41, 43.73, {}), (2, 7.42, 43.73, {})], [(1, [1, 2], {}), (2, [1, 1], {})])
+    many = model.Dataset(few.nodes, spark.range(2, 4000, 1, 20).selectExpr("id", "array(1L, 2L) as refs", "map('a', 'b') as tags"), few.relations)
+    assert tiles.raster_tiles(few, 13).collect() == tiles.raster_tiles(many, 13).collect()
