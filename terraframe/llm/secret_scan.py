@@ -271,11 +271,17 @@ def packed_end(data: bytes) -> int:
 
 
 def opens(data: bytes) -> bool:
-    """Whether compressed bytes give anything. A chance header mostly fails at once."""
+    """Whether compressed bytes give anything. A chance header mostly fails at once; a block of bzip2 gives nothing before its
+    end, and the name in a header may be long, so they are read on until something comes."""
+    d, rest = decompressor(data), memoryview(data)
     try:
-        return bool(decompressor(data).decompress(data[: 1 << 16], RUN_LEAST))
+        while rest and not d.eof:
+            if d.decompress(rest[: 1 << 16], RUN_LEAST):
+                return True
+            rest = rest[1 << 16 :]
     except (zlib.error, OSError, EOFError, ValueError):
-        return False
+        pass
+    return False
 
 
 def decoded(layer: Layer, body: str, places: range | list[int], packed_only: bool = False) -> Iterator[Layer]:

@@ -57,3 +57,12 @@ def test_wrapped(wrap, pack):
 def test_wrapped_after_a_long_word():
     assert kinds("anidentifierofthirtyonecharacte\n" + b64(gzip.compress(SECRET.encode()), 40)) == {"assign", "hex"}
     assert kinds("anidentifierofthirtyonecharacte\n" + b64(SECRET.encode(), 20)) == {"assign", "hex"}
+
+
+def test_nothing_comes_of_the_first_64_kilobytes():
+    noise = random.Random(3).randbytes(300_000)
+    assert kinds(b64(bz2.compress(SECRET.encode() + b"\n" + noise))) >= {"assign", "hex"}
+    assert kinds(b64(bz2.compress(noise + b"\n" + SECRET.encode()))) >= {"assign", "hex"}
+    named = gzip.compress(SECRET.encode())
+    named = named[:3] + b"\x08" + named[4:10] + b"n" * 100_000 + b"\x00" + named[10:]
+    assert kinds(b64(named)) >= {"assign", "hex"}
