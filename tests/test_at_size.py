@@ -53,3 +53,8 @@ def test_no_task_gathers_the_lines_of_a_raster_tile(spark, sf):
     few = model.from_rows(spark, [(1, 7.41, 43.73, {}), (2, 7.42, 43.73, {})], [(1, [1, 2], {}), (2, [1, 1], {})])
     many = model.Dataset(few.nodes, spark.range(2, 4000, 1, 20).selectExpr("id", "array(1L, 2L) as refs", "map('a', 'b') as tags"), few.relations)
     assert tiles.raster_tiles(few, 13).collect() == tiles.raster_tiles(many, 13).collect()
+
+
+def test_a_vector_tile_is_written_from_sorted_rows(spark, sf):
+    df = tiles.vector_tiles(tables.dataset(spark, sf), 14)
+    assert "FlatMapGroupsInArrow" not in plan(df.select("tile")).split("MapInArrow join")[0] and len(df.select("x", "y").distinct().collect()) == df.count()
