@@ -30,6 +30,14 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return 2 * EARTH_RADIUS_M * F.atan2(F.sqrt(s), F.sqrt(F.greatest(1 - s, F.lit(0.0))))
 
 
+def haversine_e7(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """The same for points in whole 1e-7 degrees. Differences are taken of whole numbers: those of rounded radians have few
+    digits where points are near, which shows in lengths that are rounded to 32 bits."""
+    half = lambda a, b: F.sin(F.radians((b.cast("long") - a.cast("long")) / E7) / 2)
+    s = F.pow(half(ay, by), 2) + F.cos(F.radians(ay / E7)) * F.cos(F.radians(by / E7)) * F.pow(half(ax, bx), 2)
+    return 2 * EARTH_RADIUS_M * F.atan2(F.sqrt(s), F.sqrt(F.greatest(1 - s, F.lit(0.0))))
+
+
 def box_bounds_e7(box: tuple[float, float, float, float]) -> tuple[int, int, int, int]:
     """A box in degrees as inclusive whole bounds."""
     lo = lambda x: math.ceil(x * E7 - BOX_SLACK)

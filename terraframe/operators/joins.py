@@ -95,4 +95,4 @@ def segments(ds: Dataset, ways: DataFrame | None = None, **carried: Column) -> D
 
 
 def segment_length(s: DataFrame) -> DataFrame:
-    return s.withColumn("meters", geo.haversine_m(*(F.col(c) / 1e7 for c in ("ax", "ay", "bx", "by"))))
+    return s.withColumn("meters", geo.haversine_e7(*(F.col(c) for c in ("ax", "ay", "bx", "by"))))

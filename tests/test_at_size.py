@@ -1,9 +1,11 @@
 """What whole tables need: no driver or task holds all of a map."""
 
+import math
+
 import pytest
 
 from terraframe import model
-from terraframe.operators import change, graph, spatial, tiles
+from terraframe.operators import change, graph, joins, spatial, tiles
 from terraframe.sources import tables
 
 
@@ -58,3 +60,12 @@ def test_no_task_gathers_the_lines_of_a_raster_tile(spark, sf):
 def test_a_vector_tile_is_written_from_sorted_rows(spark, sf):
     df = tiles.vector_tiles(tables.dataset(spark, sf), 14)
     assert "FlatMapGroupsInArrow" not in plan(df.select("tile")).split("MapInArrow join")[0] and len(df.select("x", "y").distinct().collect()) == df.count()
+
+
+def test_segments_are_as_long_as_their_whole_differences_say(spark):
+    spots = [(74000000, 437200000, 74000000, 437200003), (74000000, 437200000, 74000007, 437200000), (-1800000000, 0, 1799999998, 0)]
+    got = joins.segment_length(spark.createDataFrame(spots, "ax int, ay int, bx int, by int")).collect()
+    r = math.pi * 6371008.8 / 180
+    for m, want in zip([x["meters"] for x in got], (3e-7 * r, 7e-7 * r * math.cos(math.radians(43.72)), 2e-7 * r)):
+        assert abs(m / want - 1) < 1e-6
+    assert abs(got[0]["meters"] / (3e-7 * r) - 1) < 1e-12
