@@ -57,7 +57,8 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
         ext__osm_version=F.when(i % 5 == 0, i % 3),
     )
     closed = F.when(road, F.col("refs")).otherwise(F.concat("refs", F.slice("refs", 1, 1)))
-    return o.join(refs, F.col("l_orderkey") == i).select(i.alias("id"), closed.alias("refs"), tags.alias("tags"))
+    # all orders on one side: the size of compressed files doesn't tell whether they can be broadcast
+    return o.join(refs.hint("merge"), F.col("l_orderkey") == i).select(i.alias("id"), closed.alias("refs"), tags.alias("tags"))
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     member = lambda kind, ref, role: F.array_sort(F.collect_list(F.struct(F.lit(kind).alias("type"), ref.cast("long").alias("ref"), role.alias("role"))))
     role = F.when(F.col("o_orderkey") % 2 == 0, "outer").otherwise("inner")
     held = read("orders").where("o_orderkey % 7 <> 3")
-    c = read("customer").join(held, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey", "c_mktsegment").agg(member("way", F.col("o_orderkey"), role).alias("members"))
+    c = read("customer").join(held.hint("merge"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey", "c_mktsegment").agg(member("way", F.col("o_orderkey"), role).alias("members"))
     m = F.col("c_mktsegment")
     kind = F.when(m == "BUILDING", "multipolygon").when(m == "AUTOMOBILE", "route").when(m == "MACHINERY", "multipoint").when(m == "FURNITURE", "boundary")
     c = c.select((F.col("c_custkey") + 1000).alias("id"), "members", _tags(type=kind, name=F.concat(F.lit("Customer "), "c_custkey"), building=F.when(m == "BUILDING", "yes"), natural=F.when(m == "FURNITURE", "wood")).alias("tags"))

@@ -23,6 +23,12 @@ def test_ranks_are_not_broadcast(spark, sf, monkeypatch):
     assert "Broadcast" not in plan(change.node_replacements(tables.dataset(spark, sf)))
 
 
+def test_orders_are_not_broadcast(spark, sf):
+    ds = tables.dataset(spark, sf)
+    assert "Broadcast" not in plan(ds.ways)
+    assert not [x for x in plan(ds.relations).splitlines() if "BroadcastHashJoin" in x and "custkey" in x]
+
+
 @pytest.mark.parametrize("algorithm", graph.ALGORITHMS)
 def test_paths_without_the_graph_in_one_place(spark, sf, algorithm, monkeypatch):
     monkeypatch.setattr(graph, "MAX_EDGES", 10, raising=False)
