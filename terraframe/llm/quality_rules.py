@@ -49,7 +49,12 @@ def shifted(a: Column, by: int, n: Column) -> Column:
 
 
 def bucket(*c: Column) -> Column:
-    return F.pmod(F.xxhash64(*c), F.lit(BUCKETS)).cast("int")
+    return bucket_of(F.xxhash64(*c))
+
+
+def bucket_of(h: Column) -> Column:
+    """The hash's remainder, as BUCKETS is a power of two."""
+    return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
 
 
 def window_hashes(hashes: Column, n: Column) -> Column:
@@ -86,7 +91,7 @@ def n_repeat_words(df: DataFrame, windows: str) -> DataFrame:
 
 
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the words as _words and the counts n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    """docs with the words as _words, their hashes as _hashes, and the counts n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     n = F.size("_words")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -97,7 +102,7 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-    }).drop("_hashes", "_lines", "_windows")
+    }).drop("_lines", "_windows")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -123,9 +128,10 @@ def gram_weights(counts: DataFrame) -> DataFrame:
     return counts.select(F.when(F.col("t") > 0, F.transform("x", ratio)).otherwise(F.array_repeat(F.lit(0.0), BUCKETS)).alias("weights"))
 
 
-def grams(c: str = "_words") -> Column:
-    """Buckets of all unigrams, then of all bigrams."""
-    return F.concat(F.transform(c, lambda x: bucket(x)), pairs_of(F.col(c), lambda a, b: bucket(a, b)))
+def grams(c: str = "_words", hashes: str | None = None) -> Column:
+    """Buckets of all unigrams, then of all bigrams. hashes: those of the words, where they are known."""
+    single = F.transform(hashes, bucket_of) if hashes else F.transform(c, lambda x: bucket(x))
+    return F.concat(single, pairs_of(F.col(c), lambda a, b: bucket(a, b)))
 
 
 def language(docs: DataFrame, lang_col: str) -> Column:
@@ -137,15 +143,17 @@ def held_out_scores(docs: DataFrame, good: DataFrame, counts: DataFrame, id_col:
     own = docs.select(F.col(id_col).alias("_id"), language(docs, lang_col).alias("_lang"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     own = own.join(good, F.col("_id") == F.col("_good"), "left_semi").select("_lang", words(F.col("_text")).alias("_words"))
     own = own.select("_lang", F.size("_words").alias("_size"), F.concat(F.sort_array(grams()), F.array(F.lit(-1))).alias("_sorted"), *barrier()).where(f"_size >= {MIN_WORDS} and _barrier >= 0")
-    own = own.select("_lang", (2 * F.col("_size") - 1).alias("_n"), "_sorted")
+    # the place before the first bucket, and the last place of each one's run
+    last = F.transform(F.slice("_sorted", 1, F.size("_sorted") - 1), lambda b, i: F.when(F.col("_sorted")[i + 1] != b, i))
+    ends = F.concat(F.array(F.lit(-1)), F.filter(last, lambda i: i.isNotNull()))
+    own = own.select("_lang", (2 * F.col("_size") - 1).alias("_n"), "_sorted", ends.alias("_ends"), *barrier()).where("_barrier >= 0").drop("_barrier")
+    arrays = counts.select(F.transform("x", lambda x: x["target"]).alias("target"), F.transform("x", lambda x: x["raw"] + PSEUDO).alias("raw"), "r", "t")
     # the counts are referred to once, as are the weights below
-    view = docs.sparkSession.sql("SELECT *, (SELECT x FROM {c}) AS _x, (SELECT r FROM {c}) AS _r, (SELECT t FROM {c}) AS _t FROM {d}", c=counts, d=own).where("_t > _n")
+    view = docs.sparkSession.sql("SELECT *, (SELECT target FROM {c}) AS _target, (SELECT raw FROM {c}) AS _raw, (SELECT r FROM {c}) AS _r, (SELECT t FROM {c}) AS _t FROM {d}", c=arrays, d=own).where("_t > _n")
     share = (F.col("_t") - F.col("_n")) / F.col("_r")
-    term = lambda b, n: F.transform(F.array(F.col("_x")[b]), lambda y: n * F.log(((y["target"] - n) / share + PSEUDO) / (y["raw"] + PSEUDO)))[0]
-    state = lambda b, n, s: F.struct(b.alias("b"), n.alias("n"), s.alias("s"))
-    # of sorted buckets, a run's term is added when the next one begins
-    step = lambda acc, b: F.when(b == acc["b"], state(acc["b"], acc["n"] + 1, acc["s"])).otherwise(state(b, F.lit(1), acc["s"] + F.when(acc["n"] > 0, term(acc["b"], acc["n"])).otherwise(0.0)))
-    total = F.aggregate("_sorted", state(F.lit(-2), F.lit(0), F.lit(0.0)), step, lambda acc: acc["s"])
+    bucket_at = lambda c, i: F.col(c)[F.col("_sorted")[i]]
+    term = lambda p, q: (q - p) * F.log(((bucket_at("_target", q) - (q - p)) / share + PSEUDO) / bucket_at("_raw", q))
+    total = F.aggregate(pairs_of(F.col("_ends"), term), F.lit(0.0), lambda acc, x: acc + x)
     return view.select("_lang", (total / F.col("_n")).alias("s"))
 
 
@@ -170,7 +178,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_co
 def _judged(docs: DataFrame, labels: DataFrame, threshold: float, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """(_row, *OWN); as all columns of docs are in _row, none clashes with others."""
     base = base_counts(docs.select(F.struct("*").alias("_row"), language(docs, lang_col).alias("_of"), F.col(text_col).alias("_text")), "_text").drop("_text")
-    base = base.withColumn("_grams", grams()).drop("_words")
+    base = base.withColumn("_grams", grams(hashes="_hashes")).drop("_words", "_hashes")
     good = trusted_ids(labels)
     counts = checkpointed(gram_counts(docs, good, id_col, text_col))
     limit = F.broadcast(checkpointed(cuts(held_out_scores(docs, good, counts, id_col, text_col, lang_col), threshold)))

@@ -72,3 +72,12 @@ def test_repeated_windows_of_both_kinds(spark):
         for x in wins:
             seen[x] = seen.get(x, 0) + 1
         assert got[t] == len({k + j for k, x in enumerate(wins) if seen[x] > 1 for j in range(3)})
+
+
+def test_held_out_scores_fold_numbers_without_a_struct_for_each_gram(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * k % 17}" for k in range(60)), "en") for i in range(6)], "doc_id long, text string, lang string")
+    good = quality_rules.trusted_ids(spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int"))
+    counts = spark.createDataFrame(quality_rules.gram_counts(docs, good).collect(), quality_rules.gram_counts(docs, good).schema)
+    scores = quality_rules.held_out_scores(docs, good, counts)
+    folds = [x for x in scores._jdf.queryExecution().optimizedPlan().toString().splitlines() if "_lang" in x and "aggregate(" in x]
+    assert folds and not any("struct(" in x for x in folds) and scores.count() == 4
