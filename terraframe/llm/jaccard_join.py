@@ -18,7 +18,8 @@ least ``percent``/100.
    shingles counted against l, and verified. So no link between components is missed; only pairs that are connected already aren't formed.
 5. To verify, each document that others ask for hands out its set once; a join deals it to the blocks of its partners.
 
-Components come from alternating large and small stars (Kiveris et al., 2014), checkpointed; nothing is collected.
+Components come from alternating large and small stars (Kiveris et al., 2014), checkpointed; nothing is collected. A round's
+links of at most ``LOCAL``, counted, are joined in one task instead: stages of many tasks for few rows took most of the time.
 
 Defined results: a document without words (or null) has an empty set, links with nothing and stands for itself. Fewer
 words than a shingle has make one shingle. A null doc_id counts as the largest id. Rows of one doc_id (also of a null one)
@@ -43,6 +44,8 @@ SIZE, PERCENT = 4, 85
 CLOSED = 0.7
 #: Shingles of its own that an entry carries at most when all pairs are made.
 CARRIED = 512
+#: Most links that one task joins, and whose ends are broadcast.
+LOCAL = 200_000
 NODE_SCHEMA = "doc_id long, block_id long, row int, n_shingles long, d1 long, d2 long"
 
 
@@ -222,8 +225,34 @@ def verify(blocks: DataFrame, pairs: DataFrame, size: int, percent: int) -> Data
     return blocks.groupBy("block_id").cogroup(told.groupBy("block_id")).applyInArrow(test, "a long, b long")
 
 
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of links a, b, sorted, and the least one that each reaches."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while ((x := root[u]) != (y := root[v])).any():
+        # roots hang on smaller ones, so there is no circle
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+    return ids, ids[root]
+
+
+def _joined(batches):
+    """(c, to): of all links, what isn't the least of its component, and that."""
+    held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+    if held:
+        ids, to = least_reached(*(np.concatenate(c) for c in zip(*held)))
+        yield pa.RecordBatch.from_pydict({"c": pa.array(ids[ids != to]), "to": pa.array(to[ids != to])})
+
+
 def components(links: DataFrame, labels: DataFrame) -> DataFrame:
     """labels (doc_id, c), with c the least label reachable over the links (a, b)."""
+    links = links.checkpoint()
+    if links.count() <= LOCAL:
+        ends = links.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        known = labels.join(F.broadcast(ends), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("c").alias("b")).checkpoint()
+        to = links.select("a", "b").unionByName(known).coalesce(1).mapInArrow(_joined, "c long, to long").checkpoint()
+        return labels.join(F.broadcast(to), "c", "left").select("doc_id", F.coalesce("to", "c").alias("c")).checkpoint()
     edges = links.join(labels.select(F.col("doc_id").alias("a"), F.col("c").alias("x")), "a").join(labels.select(F.col("doc_id").alias("b"), F.col("c").alias("y")), "b")
     edges = edges.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).where("lo <> hi").distinct().checkpoint()
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -246,3 +247,24 @@ def test_empty_tables(spark):
     assert suffix_dedup.suffix_dedup(blank).count() == 3
     assert collected(jaccard_join.jaccard_components(blank)) == [(1, 0, 1), (2, 0, 2), (None, 0, None)]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_few_links_join_in_one_task(spark, monkeypatch, local):
+    rng, made = random.Random(3), []
+    frame, n = type(spark.range(0)), 200
+    kept = frame.checkpoint
+    B.ensure_checkpoint_dir(spark)
+    monkeypatch.setattr(jaccard_join, "LOCAL", local, raising=False)
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, **k: made.append(1) or kept(self, *a, **k))
+    pairs = [(i, i - 1) for i in range(1, 60)] + [(rng.randrange(60, n), rng.randrange(60, n)) for _ in range(60)]
+    labels = {i: i - i % 2 for i in range(n)}
+    least, before = dict(labels), None
+    while before != least:
+        before = dict(least)
+        for a, b in pairs + list(labels.items()):
+            least[a] = least[b] = min(least[a], least[b])
+    got = jaccard_join.components(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(list(labels.items()), "doc_id long, c long"))
+    assert dict(map(tuple, got.collect())) == least and (not local or len(made) <= 4)
+    nothing = jaccard_join.components(spark.createDataFrame([], "a long, b long"), spark.createDataFrame([(5, 4), (4, 4)], "doc_id long, c long"))
+    assert sorted(map(tuple, nothing.collect())) == [(4, 4), (5, 4)]
