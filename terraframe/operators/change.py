@@ -114,10 +114,10 @@ def node_replacements(ds: Dataset, meters: float = 1.0) -> DataFrame:
 
 def resolve(step: DataFrame) -> DataFrame:
     """(id, keep) with keep followed to the end of its chain, by pointer doubling: a chain of n needs log2(n) joins. A cycle,
-    which has no end, raises."""
+    which has no end, raises. Replacements grow with the nodes, so they aren't broadcast."""
     now = checkpointed(step)
     for _ in range(now.count().bit_length() + 1):
-        after = now.join(now.select(F.col("id").alias("keep"), F.col("keep").alias("further")), "keep", "left").select("id", F.coalesce("further", "keep").alias("keep"), F.col("further").isNotNull().alias("moved"))
+        after = now.join(now.select(F.col("id").alias("keep"), F.col("keep").alias("further")).hint("merge"), "keep", "left").select("id", F.coalesce("further", "keep").alias("keep"), F.col("further").isNotNull().alias("moved"))
         after = checkpointed(after)
         if not after.where("moved").limit(1).count():
             return after.select("id", "keep")
@@ -126,10 +126,10 @@ def resolve(step: DataFrame) -> DataFrame:
 
 
 def replace_refs(ways: DataFrame, replacements: DataFrame) -> DataFrame:
-    """Ways with replaced references, without repeats in a row."""
-    refs = ways.select("id", F.posexplode("refs").alias("pos", "ref")).join(replacements.select(F.col("id").alias("ref"), "keep"), "ref", "left")
+    """Ways with replaced references, without repeats in a row. Neither the replacements nor the ways are broadcast."""
+    refs = ways.select("id", F.posexplode("refs").alias("pos", "ref")).join(replacements.select(F.col("id").alias("ref"), "keep").hint("merge"), "ref", "left")
     new = refs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("keep", "ref").alias("ref")))).alias("x"))
-    return ways.join(new, "id", "left").select("id", T.without_repeats(F.coalesce(F.transform("x", lambda x: x["ref"]), F.col("refs"))).alias("refs"), "tags")
+    return ways.join(new.hint("merge"), "id", "left").select("id", T.without_repeats(F.coalesce(F.transform("x", lambda x: x["ref"]), F.col("refs"))).alias("refs"), "tags")
 
 
 def way_duplicates(ds: Dataset) -> DataFrame:

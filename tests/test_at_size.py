@@ -23,6 +23,20 @@ def test_ranks_are_not_broadcast(spark, sf, monkeypatch):
     assert "Broadcast" not in plan(change.node_replacements(tables.dataset(spark, sf)))
 
 
+def test_replacements_are_not_broadcast(spark, sf, monkeypatch):
+    plans = []
+
+    def run(df):
+        out = model.checkpointed(df)
+        plans.append(plan(df))  # as it ran: sizes are known then
+        return out
+
+    monkeypatch.setattr(change, "checkpointed", run)
+    ds = tables.dataset(spark, sf)
+    out = run(change.replace_refs(ds.ways, change.node_replacements(ds)))
+    assert out.count() == ds.ways.count() and len(plans) >= 3 and "Broadcast" not in "".join(plans)
+
+
 def test_orders_are_not_broadcast(spark, sf):
     ds = tables.dataset(spark, sf)
     assert "Broadcast" not in plan(ds.ways)
