@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from terraframe import model
+from terraframe import model, registry
 from terraframe.operators import change, graph, joins, spatial, tiles
 from terraframe.sources import tables
 
@@ -109,3 +109,19 @@ def test_a_round_of_a_search_has_no_plan_of_its_own(spark, algorithm, monkeypatc
     got = graph.route(ds, graph.edges(ds), spark.createDataFrame(queries, "query long, start long, goal long"), algorithm).orderBy("query", "seq").collect()
     assert [r["node"] for r in got] == [*range(14), *range(13, -1, -1), 3, *range(4, 10)]
     assert [r["seq"] for r in got] == [*range(14), *range(14), 0, *range(6)] and len(plans) < 10
+
+
+@pytest.mark.parametrize("name", ["route_info"])
+def test_the_driver_gets_paths_and_not_the_graph(spark, sf, name, monkeypatch):
+    rows = []
+
+    def counted(kind, method, f):
+        monkeypatch.setattr(kind, method, lambda self, *a, **b: rows.append(len(out := list(f(self, *a, **b)))) or (iter(out) if method == "toLocalIterator" else out))
+
+    frame, rdd = type(spark.range(0)), type(spark.sparkContext.parallelize([0]))
+    for kind in (frame, rdd):
+        for method in ("collect", "toLocalIterator"):
+            counted(kind, method, getattr(kind, method))
+    made = registry.QUERIES[name](spark, sf)
+    monkeypatch.undo()
+    assert rows and sum(rows) < graph.edges(tables.dataset(spark, sf)).count() / 10 and made.count() > 0
