@@ -111,7 +111,7 @@ def test_a_round_of_a_search_has_no_plan_of_its_own(spark, algorithm, monkeypatc
     assert [r["seq"] for r in got] == [*range(14), *range(14), 0, *range(6)] and len(plans) < 10
 
 
-@pytest.mark.parametrize("name", ["route_info", "route_astar"])
+@pytest.mark.parametrize("name", ["route_info", "route_astar", "route_marks"])
 def test_the_driver_gets_paths_and_not_the_graph(spark, sf, name, monkeypatch):
     rows = []
 
